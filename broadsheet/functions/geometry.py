@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from broadsheet.functions.text import let
+
 
 class Box(NamedTuple):
     x0: Column
@@ -60,44 +62,64 @@ def _point_hull(points: Column) -> Column:
     return F.when(F.size(good) > 0, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
 
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+FOUR_NUMBERS = rf"^\[\s*{NUMBER}(?:\s*,\s*{NUMBER}){{3}}\s*\]$"
+
 # Keys searched for a box, in order.
 BOX_KEYS = ("bbox", "coordinate", "box", "poly", "points")
 
 
-def bbox_from_any(raw: Column, depth: int = 2) -> Box:
-    """Integer box of a JSON value: four numbers, a list of points, or an object holding either.
+def bbox_array_from_any(raw: Column, depth: int = 2) -> Column:
+    """``array<int>`` box of a JSON value: four numbers, a list of points, or an object with either.
 
     Objects are followed ``depth`` levels down. Fractions are cut towards zero.
     """
 
+    def listed(value: Column) -> Column:
+        numbers = F.transform(F.regexp_extract_all(value, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
+        points = F.from_json(value, "array<array<double>>")
+        return (F.when(value.rlike(FOUR_NUMBERS), let(numbers, _hull))
+                .when(value.rlike(r"^\[\s*\["), let(points, _point_hull)))
+
+    def inner(value: Column) -> Column:
+        def pick(keys: Column) -> Column:
+            first = F.get(F.filter(F.array(*map(F.lit, BOX_KEYS)), lambda k: F.array_contains(keys, k)), F.lit(0))
+            return let(first, lambda f: F.coalesce(*[
+                F.when(f == key, F.get_json_object(value, f"$.{key}")) for key in BOX_KEYS]))
+
+        return let(F.json_object_keys(value), pick)
+
     def parse(value: Column, levels: int) -> Column:
-        four = _hull(_whole(F.from_json(value, "array<double>"), 4))
-        points = _point_hull(F.from_json(value, "array<array<double>>"))
-        lists = F.when(F.startswith(F.trim(value), F.lit("[")), F.coalesce(four, points))
         if levels == 0:
-            return lists
-        keys = F.json_object_keys(value)
-        first = F.get(F.filter(F.array(*map(F.lit, BOX_KEYS)), lambda k: F.array_contains(keys, k)), F.lit(0))
-        inner = F.coalesce(*[F.when(first == key, F.get_json_object(value, f"$.{key}")) for key in BOX_KEYS])
-        return F.when(F.startswith(F.trim(value), F.lit("{")), parse(inner, levels - 1)).otherwise(lists)
+            return listed(value)
+        nested = let(inner(value), lambda v: parse(v, levels - 1))
+        return F.when(F.startswith(value, F.lit("{")), nested).otherwise(listed(value))
 
-    return Box.of_array(F.transform(parse(raw, depth), lambda v: v.cast("int")))
+    numbers = let(F.trim(raw), lambda value: parse(value, depth))
+    return F.transform(numbers, lambda v: v.cast("int"))
+
+
+def bbox_from_any(raw: Column, depth: int = 2) -> Box:
+    """``bbox_array_from_any`` as four Columns."""
+    return Box.of_array(bbox_array_from_any(raw, depth))
 
 
 def parse_bbox_a(raw: Column) -> Box:
     """Float box of a JSON value for column segmentation; ends are not reordered."""
 
     def fields(value: Column, *names: str) -> Column:
-        return _whole(F.array(*[F.get_json_object(value, f"$.{name}").try_cast("double") for name in names]))
+        return let(F.array(*[F.get_json_object(value, f"$.{name}").try_cast("double") for name in names]), _whole)
 
-    def lists(value: Column) -> Column:
-        points = F.from_json(value, "array<struct<x:double,y:double>>")
+    def point_hull(points: Column) -> Column:
         xs = F.filter(F.transform(points, lambda p: p["x"]), F.isnotnull)
         ys = F.filter(F.transform(points, lambda p: p["y"]), F.isnotnull)
-        hull = F.when((F.size(xs) > 0) & (F.size(ys) > 0),
+        return F.when((F.size(xs) > 0) & (F.size(ys) > 0),
                       F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
-        return F.when(F.startswith(F.trim(value), F.lit("[")),
-                      F.coalesce(_whole(F.from_json(value, "array<double>"), 4), hull))
+
+    def lists(value: Column) -> Column:
+        four = let(F.from_json(value, "array<double>"), lambda n: _whole(n, 4))
+        hull = let(F.from_json(value, "array<struct<x:double,y:double>>"), point_hull)
+        return F.when(F.startswith(F.trim(value), F.lit("[")), F.coalesce(four, hull))
 
     sized = fields(raw, "x", "y", "width", "height")
     s = [F.get(sized, F.lit(i)) for i in range(4)]
@@ -113,29 +135,31 @@ def parse_bbox_a(raw: Column) -> Box:
 
 def bbox_from_model_value(raw: Column, width: Column, height: Column) -> Box:
     """Integer box clamped to the page; text numbers may be fractions, 0-1000 or pixels."""
-    plain = bbox_from_any(raw)
-    values = _whole(F.transform(F.from_json(raw, "array<string>"), lambda v: v.try_cast("double")), 4)
-    reach = F.array_max(F.transform(values, F.abs))
-    sides = [width, height, width, height]
-    scaled = []
-    for i, side in enumerate(sides):
-        v = F.get(values, F.lit(i))
-        pixels = (
-            F.when(reach <= 1.5, v * side)
-            .when((reach <= 1000) & (F.greatest(width, height) > 1200), v / 1000.0 * side)
-            .otherwise(v)
-        )
-        scaled.append(F.bround(pixels, 0).cast("int"))
-    return clamp_bbox(Box(*[F.coalesce(p, s) for p, s in zip(plain, scaled)]), width, height)
+    sides = F.array(width, height, width, height)
+
+    def pixels(values: Column) -> Column:
+        reach = F.array_max(F.transform(values, F.abs))
+        return let(reach, lambda r: F.transform(values, lambda v, i: F.bround(
+            F.when(r <= 1.5, v * F.get(sides, i))
+            .when((r <= 1000) & (F.greatest(width, height) > 1200), v / 1000.0 * F.get(sides, i))
+            .otherwise(v), 0).cast("int")))
+
+    texts = F.transform(F.from_json(raw, "array<string>"), lambda v: v.try_cast("double"))
+    scaled = let(let(texts, lambda v: _whole(v, 4)), pixels)
+    box = let(F.coalesce(bbox_array_from_any(raw), scaled), lambda b: clamp_bbox(Box.of_array(b), width, height).array())
+    return Box.of_array(box)
 
 
 def parse_bbox_text(text: Column) -> Box:
     """Box of the numbers in an attribute: four are a box, six or more (even) a polygon."""
+
+    def hull(numbers: Column) -> Column:
+        xs, ys = F.filter(numbers, lambda v, i: i % 2 == 0), F.filter(numbers, lambda v, i: i % 2 == 1)
+        usable = (F.size(numbers) >= 4) & (F.size(numbers) % 2 == 0)
+        return F.when(usable, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
+
     numbers = F.transform(F.regexp_extract_all(text, F.lit(r"-?\d+(?:\.\d+)?"), F.lit(0)), lambda v: v.cast("double"))
-    xs, ys = F.filter(numbers, lambda v, i: i % 2 == 0), F.filter(numbers, lambda v, i: i % 2 == 1)
-    usable = (F.size(numbers) >= 4) & (F.size(numbers) % 2 == 0)
-    hull = F.when(usable, F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
-    return Box.of_array(F.transform(hull, lambda v: F.bround(v, 0).cast("int")))
+    return Box.of_array(F.transform(let(numbers, hull), lambda v: F.bround(v, 0).cast("int")))
 
 
 def bbox_union(box: Box) -> Box:

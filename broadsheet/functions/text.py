@@ -56,7 +56,7 @@ def count_matches(text: Column, pattern: str) -> Column:
 
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` evaluated once, for places where no projection can hold it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def _code_point(number: Column) -> Column:
@@ -214,7 +214,7 @@ def normalize_score(value: Column) -> Column:
     """Score in 0..1; values above 1 and up to 100 are percents; null where it is no number."""
     score = strip(value.cast("string")).try_cast("double")
     score = F.when((score > 1.0) & (score <= 100.0), score / 100.0).otherwise(score)
-    return F.when(score.isNotNull(), F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
+    return F.when(score.isNotNull(), F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
 
 
 def coerce_score(value: Column) -> Column:
@@ -276,15 +276,18 @@ def rows_to_markdown_table(rows: Column, min_columns: int = 2) -> Column:
     """Pipe table padded to the widest row; blank where it has fewer than ``min_columns``."""
     clean = F.transform(rows, lambda row: F.transform(row, lambda c: strip(F.replace(c, F.lit("|"), F.lit("\\|")))))
     clean = F.filter(clean, lambda row: F.exists(row, lambda c: c != ""))
-    width = F.array_max(F.transform(clean, F.size))
 
     def line(cells: Column) -> Column:
         return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
-    padded = F.transform(clean, lambda row: line(F.concat(row, F.array_repeat(F.lit(""), width - F.size(row)))))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    table = F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, 1 << 30)), "\n")
-    return F.when((F.size(clean) > 0) & (width >= min_columns), table).otherwise(F.lit(""))
+    def render(table: Column, width: Column) -> Column:
+        padded = F.transform(table, lambda row: line(F.concat(row, F.array_repeat(F.lit(""), width - F.size(row)))))
+        rule = line(F.array_repeat(F.lit("---"), width))
+        text = let(padded, lambda p: F.array_join(F.concat(F.slice(p, 1, 1), F.array(rule), F.slice(p, 2, 1 << 30)), "\n"))
+        return F.when((F.size(table) > 0) & (width >= min_columns), text).otherwise(F.lit(""))
+
+    return let(clean, lambda table: let(
+        F.coalesce(F.array_max(F.transform(table, F.size)), F.lit(0)), lambda width: render(table, width)))
 
 
 # -- Markdown and replies --------------------------------------------------------------------
@@ -309,19 +312,25 @@ def markdown_body(markdown: Column) -> Column:
     lines = F.split(F.replace(markdown, F.lit("\r"), F.lit("")), "\n")
     numbered = F.transform(lines, lambda line, i: F.struct(i.alias("i"), line.alias("line"), strip(line).alias("bare")))
 
-    def first_index(condition) -> Column:
-        return F.array_min(F.transform(F.filter(numbered, condition), lambda s: s["i"]))
+    def first(rows: Column, condition) -> Column:
+        return F.array_min(F.transform(F.filter(rows, condition), lambda s: s["i"]))
+
+    def is_metadata(bare: Column) -> Column:
+        return F.startswith(bare, F.lit("- ")) & F.contains(F.substr(bare, F.lit(3)), F.lit(":"))
+
+    def text_of(rows: Column) -> Column:
+        start = first(rows, lambda s: (s["bare"] != "") & ~is_metadata(s["bare"]))
+        kept = let(start, lambda at: F.filter(rows, lambda s: s["i"] >= at))
+        return F.coalesce(strip(F.array_join(F.transform(kept, lambda s: s["line"]), "\n")), F.lit(""))
 
-    title = first_index(lambda s: F.startswith(s["bare"], F.lit("#")))
-    after = F.filter(numbered, lambda s: s["i"] > title)
-    end = F.coalesce(
-        F.array_min(F.transform(F.filter(after, lambda s: s["bare"] == "## Images"), lambda s: s["i"])), F.size(lines))
-    content = F.filter(after, lambda s: (s["i"] < end) & (s["bare"] != "")
-                       & ~(F.startswith(s["bare"], F.lit("- ")) & F.contains(F.substr(s["bare"], F.lit(3)), F.lit(":"))))
-    start = F.array_min(F.transform(content, lambda s: s["i"]))
-    body = F.filter(after, lambda s: (s["i"] >= start) & (s["i"] < end))
-    text = strip(F.array_join(F.transform(body, lambda s: s["line"]), "\n"))
-    return F.when(title.isNull(), strip(markdown)).otherwise(F.coalesce(text, F.lit("")))
+    def below(rows: Column, title: Column) -> Column:
+        after = F.filter(rows, lambda s: s["i"] > title)
+        end = let(after, lambda a: first(a, lambda s: s["bare"] == "## Images"))
+        return let(end, lambda e: let(F.filter(after, lambda s: e.isNull() | (s["i"] < e)), text_of))
+
+    body = let(numbered, lambda rows: let(
+        first(rows, lambda s: F.startswith(s["bare"], F.lit("#"))), lambda title: F.when(title.isNotNull(), below(rows, title))))
+    return F.coalesce(body, strip(markdown))
 
 
 def reply_json(reply: Column) -> Column:
@@ -330,9 +339,12 @@ def reply_json(reply: Column) -> Column:
     text = F.when(
         F.startswith(text, F.lit("```")),
         F.regexp_replace(F.regexp_replace(text, r"(?i)^```(?:json)?\s*", ""), r"\s*```$", "")).otherwise(text)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    text = F.when(~F.startswith(text, F.lit("{")) & (braces != ""), braces).otherwise(text)
-    return F.when(F.startswith(text, F.lit("{")) & F.try_parse_json(text).isNotNull(), text)
+
+    def cut(t: Column) -> Column:
+        braces = F.regexp_extract(t, r"(?s)(\{.*\})", 1)
+        return F.when(~F.startswith(t, F.lit("{")) & (braces != ""), braces).otherwise(t)
+
+    return let(let(text, cut), lambda t: F.when(F.startswith(t, F.lit("{")) & F.try_parse_json(t).isNotNull(), t))
 
 
 def classify_error(message: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.functions.geometry import bbox_from_any
+from broadsheet.functions.geometry import bbox_array_from_any
 
 # States of an annotation.
 STATUSES = ("pending", "accepted", "needs_review", "rejected")
@@ -14,7 +14,7 @@ STATUSES = ("pending", "accepted", "needs_review", "rejected")
 
 def _box(raw: Column) -> Column:
     """``array<int>`` of a JSON box, null where it is none."""
-    return tx.let(bbox_from_any(raw, depth=1).array(), lambda b: F.when(F.get(b, F.lit(0)).isNotNull(), b))
+    return bbox_array_from_any(raw, depth=1)
 
 
 def _regions(raw: Column, given: Column, box: Column, text: Column) -> Column:
