@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from broadsheet.functions.text import let
 
 
+def split_box(df, array: Column):
+    """Adds x0, y0, x1, y1 from a box array that is evaluated once."""
+    return df.withColumn("_box", array).withColumns(Box.of_array(F.col("_box"))._asdict()).drop("_box")
+
+
 class Box(NamedTuple):
     x0: Column
     y0: Column
@@ -82,10 +87,11 @@ def bbox_array_from_any(raw: Column, depth: int = 2) -> Column:
                 .when(value.rlike(r"^\[\s*\["), let(points, _point_hull)))
 
     def inner(value: Column) -> Column:
+        fields = F.from_json(value, ",".join(f"{key} string" for key in BOX_KEYS))
+
         def pick(keys: Column) -> Column:
             first = F.get(F.filter(F.array(*map(F.lit, BOX_KEYS)), lambda k: F.array_contains(keys, k)), F.lit(0))
-            return let(first, lambda f: F.coalesce(*[
-                F.when(f == key, F.get_json_object(value, f"$.{key}")) for key in BOX_KEYS]))
+            return let(fields, lambda v: let(first, lambda f: F.coalesce(*[F.when(f == key, v[key]) for key in BOX_KEYS])))
 
         return let(F.json_object_keys(value), pick)
 
@@ -104,11 +110,10 @@ def bbox_from_any(raw: Column, depth: int = 2) -> Box:
     return Box.of_array(bbox_array_from_any(raw, depth))
 
 
-def parse_bbox_a(raw: Column) -> Box:
-    """Float box of a JSON value for column segmentation; ends are not reordered."""
-
-    def fields(value: Column, *names: str) -> Column:
-        return let(F.array(*[F.get_json_object(value, f"$.{name}").try_cast("double") for name in names]), _whole)
+def bbox_array_for_columns(raw: Column) -> Column:
+    """``array<double>`` box of a JSON value for column segmentation; ends are not reordered."""
+    corners = (("x0", "y0", "x1", "y1"), ("left", "top", "right", "bottom"), ("x", "y", "width", "height"))
+    schema = ",".join(f"{name} double" for names in corners for name in names) + ",points string"
 
     def point_hull(points: Column) -> Column:
         xs = F.filter(F.transform(points, lambda p: p["x"]), F.isnotnull)
@@ -117,24 +122,26 @@ def parse_bbox_a(raw: Column) -> Box:
                       F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys)))
 
     def lists(value: Column) -> Column:
-        four = let(F.from_json(value, "array<double>"), lambda n: _whole(n, 4))
+        numbers = F.transform(F.regexp_extract_all(value, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
         hull = let(F.from_json(value, "array<struct<x:double,y:double>>"), point_hull)
-        return F.when(F.startswith(F.trim(value), F.lit("[")), F.coalesce(four, hull))
-
-    sized = fields(raw, "x", "y", "width", "height")
-    s = [F.get(sized, F.lit(i)) for i in range(4)]
-    box = F.coalesce(
-        fields(raw, "x0", "y0", "x1", "y1"),
-        fields(raw, "left", "top", "right", "bottom"),
-        F.when(sized.isNotNull(), F.array(s[0], s[1], s[0] + s[2], s[1] + s[3])),
-        lists(F.get_json_object(raw, "$.points")),
-        lists(raw),
-    )
-    return Box.of_array(box)
+        return F.when(value.rlike(FOUR_NUMBERS), numbers).when(value.rlike(r"^\[\s*\{"), hull)
+
+    def objects(o: Column) -> Column:
+        direct = [_whole(F.array(*[o[name] for name in names])) for names in corners]
+        sized = F.array(o["x"], o["y"], o["x"] + o["width"], o["y"] + o["height"])
+        return F.coalesce(direct[0], direct[1], _whole(sized), let(F.trim(o["points"]), lists))
+
+    return let(F.trim(raw), lambda value: F.when(
+        F.startswith(value, F.lit("{")), let(F.from_json(value, schema), objects)).otherwise(lists(value)))
+
+
+def bbox_for_columns(raw: Column) -> Box:
+    """``bbox_array_for_columns`` as four Columns."""
+    return Box.of_array(bbox_array_for_columns(raw))
 
 
-def bbox_from_model_value(raw: Column, width: Column, height: Column) -> Box:
-    """Integer box clamped to the page; text numbers may be fractions, 0-1000 or pixels."""
+def model_value_array(raw: Column, width: Column, height: Column) -> Column:
+    """``array<int>`` box clamped to the page; text numbers may be fractions, 0-1000 or pixels."""
     sides = F.array(width, height, width, height)
 
     def pixels(values: Column) -> Column:
@@ -147,7 +154,7 @@ def bbox_from_model_value(raw: Column, width: Column, height: Column) -> Box:
     texts = F.transform(F.from_json(raw, "array<string>"), lambda v: v.try_cast("double"))
     scaled = let(let(texts, lambda v: _whole(v, 4)), pixels)
     box = let(F.coalesce(bbox_array_from_any(raw), scaled), lambda b: clamp_bbox(Box.of_array(b), width, height).array())
-    return Box.of_array(box)
+    return F.when(F.get(box, F.lit(0)).isNotNull(), box)
 
 
 def parse_bbox_text(text: Column) -> Box:

@@ -263,7 +263,7 @@ def raw_items(payloads: DataFrame) -> DataFrame:
     boxes = array(*[r + k for k in ("rec_boxes", "rec_polys", "dt_polys") for r in roots])
     parallel = F.transform(texts, lambda t, i: F.struct(F.get(boxes, i).alias("bbox"), t.alias("text")))
     rows = parsed.select("doc_id", "page_no", F.explode(F.when(F.size("items") > 0, listed).otherwise(parallel)).alias("i"))
-    rows = rows.select("doc_id", "page_no", *geo.bbox_from_any(F.col("i.bbox")).columns(), tx.strip(F.coalesce("i.text", F.lit(""))).alias("text"))
+    rows = geo.split_box(rows, geo.bbox_array_from_any(F.col("i.bbox"))).select("doc_id", "page_no", *Box._fields, tx.strip(F.coalesce("i.text", F.lit(""))).alias("text"))
     return rows.where(F.col("x0").isNotNull() & (F.col("text") != ""))
 
 

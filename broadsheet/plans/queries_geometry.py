@@ -62,7 +62,7 @@ def q_bbox_from_any(spark, sf_dir):
     raw = _pick({
         0: four, 1: points, 2: F.concat(F.lit('{"label":"x","bbox":'), four, F.lit("}")),
         3: F.concat(F.lit('{"box":{"points":'), points, F.lit("}}")), 4: _json(*A), 5: F.lit('{"text":"no box"}')}, F.col("qty") % 6)
-    return boxes(spark, sf_dir).select(*KEY, *geo.bbox_from_any(raw).columns())
+    return geo.split_box(boxes(spark, sf_dir), geo.bbox_array_from_any(raw)).select(*KEY, *Box._fields)
 
 
 @query("bbox_for_columns", f"""WITH {BOXES_SQL}
@@ -82,7 +82,7 @@ def q_bbox_for_columns(spark, sf_dir):
     raw = _pick({
         0: obj(x0=A.x0, y0=A.y0, x1=A.x1, y1=A.y1), 1: obj(left=A.x0, top=A.y0, right=A.x1, bottom=A.y1),
         2: obj(x=A.x0, y=A.y0, width=A.x1 - A.x0, height=A.y1 - A.y0), 3: _json(*A), 4: points, 5: F.lit('"none"')}, F.col("qty") % 6)
-    return boxes(spark, sf_dir).select(*KEY, *geo.parse_bbox_a(raw).columns())
+    return geo.split_box(boxes(spark, sf_dir), geo.bbox_array_for_columns(raw)).select(*KEY, *Box._fields)
 
 
 @query("bbox_from_model_value", f"""WITH {BOXES_SQL},
@@ -112,7 +112,7 @@ def q_bbox_from_model_value(spark, sf_dir):
 
     raw = _pick({0: quoted(a / 1000, b / 1000, c / 1000, d / 1000), 1: quoted(a, b, c, d), 2: quoted(a + 2000, b, c + 2000, d), 3: _json(*A)},
                 F.col("qty") % 4)
-    return boxes(spark, sf_dir).select(*KEY, *geo.bbox_from_model_value(raw, PW, PH).columns())
+    return geo.split_box(boxes(spark, sf_dir), geo.model_value_array(raw, PW, PH)).select(*KEY, *Box._fields)
 
 
 @query("bbox_from_attribute", f"""WITH {BOXES_SQL}

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
-from broadsheet.functions.geometry import Box, bbox_from_any, normalize_bbox
+from broadsheet.functions.geometry import Box, bbox_array_from_any, normalize_bbox, split_box
 
 
 def normalize_captions(images: DataFrame, width: Column | None = None, height: Column | None = None) -> DataFrame:
@@ -20,8 +20,7 @@ def normalize_captions(images: DataFrame, width: Column | None = None, height: C
     sizes = [width.alias("_w"), height.alias("_h")] if width is not None and height is not None else []
     rows = images.select("article_id", order.alias("image_order"), *sizes, F.posexplode(listed).alias("caption_order", "c"))
     rows = rows.withColumn("caption", tx.first_non_blank(F.col("c.text"), F.col("c.content"))).where(F.col("caption").isNotNull())
-    box = bbox_from_any(F.col("c.bbox"))
-    rows = rows.select("*", *box.columns(), F.col("c.confidence").alias("confidence")).drop("c")
+    rows = split_box(rows, bbox_array_from_any(F.col("c.bbox"))).withColumn("confidence", F.col("c.confidence")).drop("c")
     if sizes:
         scaled = normalize_bbox(Box.named(), F.col("_w"), F.col("_h"))
         present = F.col("x0").isNotNull()
