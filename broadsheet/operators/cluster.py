@@ -312,8 +312,8 @@ def cluster_pages(blocks: DataFrame) -> DataFrame:
     drafts = F.transform("found", lambda a, number: tx.let(
         F.filter("blocks", lambda b: b["article"] == number), lambda mine: _draft(a, number, mine)))
     pages = pages.withColumn("drafts", drafts)
-    kept = F.filter("drafts", lambda d: keep_article(
-        tx.normalize_text(d["title"]), d["body_text"], d["image_count"], d["image_area"], d["caption_count"]))
+    kept = F.filter("drafts", lambda d: tx.let(tx.normalize_text(d["title"]), lambda title: keep_article(
+        title, d["body_text"], d["image_count"], d["image_area"], d["caption_count"])))
     order = ("y0", "column_index", "x0", "article_key")
     ordered = F.array_sort(F.transform(kept, lambda d: F.struct(*[d[n].alias(n) for n in order], d.alias("d"))))
     return pages.select(*PAGE, "width", "height", "blocks", F.transform(ordered, lambda o: o["d"]).alias("articles"))

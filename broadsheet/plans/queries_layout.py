@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import text as tx
@@ -368,20 +368,25 @@ def clear_sheets(spark, sf_dir) -> DataFrame:
     y0 = (420 + F.floor(row / 4) * 1000 + (row % 4) * 150).cast("int")
     words = F.concat(F.lit("word "), F.substring(F.regexp_replace("line", "[^A-Za-z ]", ""), 1, 60), F.lit(" end"))
     x0 = (120 + F.col("col") * 570).cast("int")
-    return src.select(
-        *PAGE, F.lit(W).alias("width"), F.lit(H).alias("height"), n.cast("int").alias("seq"), F.concat(F.lit("b-"), n).alias("block_id"),
-        F.when(top, "title").otherwise("text").alias("label"), x0.alias("x0"), y0.alias("y0"), (x0 + 500).alias("x1"), (y0 + 100).alias("y1"),
-        F.when(top, F.concat(F.lit("Headline "), n)).otherwise(words).alias("text"), F.lit(0.9).alias("confidence"), "col", (F.floor(row / 4)).alias("part"))
+
+    def block(kind: str, seq: Column, start: Column, end: Column, text: Column) -> Column:
+        return F.struct(F.lit(kind).alias("label"), seq.cast("int").alias("seq"), start.alias("y0"), end.alias("y1"), text.alias("text"))
+
+    head = block("title", n * 2, y0, y0 + 40, F.concat(F.lit("Headline "), n))
+    body = block("text", n * 2 + 1, F.when(top, y0 + 50).otherwise(y0), y0 + 100, words)
+    rows = src.select(*PAGE, x0.alias("x0"), F.explode(F.when(top, F.array(head, body)).otherwise(F.array(body))).alias("b"))
+    return rows.select(*PAGE, F.lit(W).alias("width"), F.lit(H).alias("height"), "x0", (F.col("x0") + 500).alias("x1"), "b.*",
+                       F.concat(F.lit("b-"), "b.seq").alias("block_id"), F.lit(0.9).alias("confidence"))
 
 
 @query("cluster_clear_sheets", f"""WITH {CLEAR_SQL},
 a AS (SELECT doc_id, page_no, col, part, max(CASE WHEN row % 4 = 0 THEN heading END) AS title,
-  coalesce(string_agg(CASE WHEN row % 4 > 0 THEN {q.squeeze('words')} END, chr(10) ORDER BY row), '') AS body_text,
+  string_agg({q.squeeze('words')}, chr(10) ORDER BY row) AS body_text,
   120 + 570 * col AS x0, 420 + 1000 * part AS y0 FROM clear GROUP BY doc_id, page_no, col, part),
 k AS (SELECT * FROM a WHERE body_text <> '')
 SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y0, x0) AS article_order, title, body_text, x0, y0 FROM k""")
 def q_cluster_clear_sheets(spark, sf_dir):
-    out = cl.articles(cl.cluster_pages(clear_sheets(spark, sf_dir).drop("col", "part")))
+    out = cl.articles(cl.cluster_pages(clear_sheets(spark, sf_dir)))
     return out.select(*PAGE, "article_order", "title", "body_text", "x0", "y0")
 
 
@@ -531,7 +536,7 @@ QUALITY_SQL = f"""{DUP_SQL}, s AS (SELECT doc_id, sum(length({q.compact('line')}
 
 
 @query("layout_quality", f"""WITH {QUALITY_SQL}
-SELECT doc_id, 1 AS page_no, round(greatest(0, least(chars / 80, 2) / 2 * 0.55 - penalty), 3) AS score, false AS acceptable FROM s JOIN dup USING (doc_id)""")
+SELECT doc_id, 1 AS page_no, round(round(greatest(0, least(chars / 80, 2) / 2 * 0.55 - penalty), 4), 3) AS score, false AS acceptable FROM s JOIN dup USING (doc_id)""")
 def q_layout_quality(spark, sf_dir):
     return quality.layout_quality(document_pages(spark, sf_dir)).select(*PAGE, F.round("score", 3).alias("score"), "acceptable")
 
@@ -539,10 +544,10 @@ def q_layout_quality(spark, sf_dir):
 GRADE_SQL = f"""{LINES_SQL}, mixed AS (SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN repeat('한글 ', 30) || line ELSE line END AS text FROM lines),
 s AS (SELECT doc_id, sum(length({q.compact('text')})) AS c, sum(length(text) - length(regexp_replace(text, '[가-힣]', '', 'g'))) AS h, count(*) AS b FROM mixed GROUP BY doc_id),
 r AS (SELECT doc_id, c AS char_count, round(h / c, 4) AS korean_ratio, round(0.3 + doc_id % 7 * 0.1, 4) AS average_confidence, b AS block_count, doc_id % 4 AS article_count FROM s),
-g AS (SELECT *, round(least(1, least(char_count / 80, 2) / 2 * 0.45 + korean_ratio * 0.3 + average_confidence * 0.25), 3) AS score,
+g AS (SELECT *, round(least(1, least(char_count / 80, 2) / 2 * 0.45 + korean_ratio * 0.3 + average_confidence * 0.25), 4) AS score4, round(score4, 3) AS score,
   list_filter([CASE WHEN char_count < 80 THEN 'low_text' END, CASE WHEN korean_ratio < 0.35 THEN 'low_korean_ratio' END, CASE WHEN average_confidence < 0.75 THEN 'low_confidence' END,
     CASE WHEN article_count = 0 THEN 'no_articles' END], lambda x: x IS NOT NULL) AS reasons FROM r),
-grades AS (SELECT *, CASE WHEN score < 0.45 OR article_count = 0 THEN 'blocked' WHEN score < 0.7 OR len(reasons) > 0 THEN 'warning' ELSE 'ready' END AS status FROM g)"""
+grades AS (SELECT *, CASE WHEN score4 < 0.45 OR article_count = 0 THEN 'blocked' WHEN score4 < 0.7 OR len(reasons) > 0 THEN 'warning' ELSE 'ready' END AS status FROM g)"""
 
 
 def graded_pages(spark, sf_dir) -> DataFrame:
@@ -552,26 +557,26 @@ def graded_pages(spark, sf_dir) -> DataFrame:
     text = F.when(d % 3 == 0, F.concat(F.repeat(F.lit("한글 "), F.lit(30)), F.col("text"))).otherwise(F.col("text"))
     b = b.withColumns({"text": text, "confidence": 0.3 + d % 7 * 0.1})
     counts = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), (d % 4).alias("article_count"))
-    return quality.page_quality(b, counts).withColumn("score", F.round("score", 3))
+    return quality.page_quality(b, counts)
 
 
 @query("page_quality", f"""WITH {GRADE_SQL} SELECT doc_id, 1 AS page_no, status, score, char_count, korean_ratio, average_confidence, block_count, article_count,
   array_to_string(reasons, ',') AS reasons FROM grades""")
 def q_page_quality(spark, sf_dir):
     return graded_pages(spark, sf_dir).select(
-        *PAGE, "status", "score", "char_count", "korean_ratio", "average_confidence", "block_count", "article_count", F.array_join("reasons", ",").alias("reasons"))
+        *PAGE, "status", F.round("score", 3).alias("score"), "char_count", "korean_ratio", "average_confidence", "block_count", "article_count", F.array_join("reasons", ",").alias("reasons"))
 
 
 _ROLLUP = """SELECT {key}, CASE WHEN b > 0 THEN 'blocked' WHEN w > 0 THEN 'warning' ELSE 'ready' END AS status, average_score, r AS ready_pages, w AS warning_pages,
   b AS blocked_pages, n AS measured_pages, coalesce(top_reasons, '') AS top_reasons FROM (SELECT {key}, count(*) AS n, count(*) FILTER (WHERE status = 'ready') AS r,
-  count(*) FILTER (WHERE status = 'warning') AS w, count(*) FILTER (WHERE status = 'blocked') AS b, round(avg(score), 3) AS average_score FROM grades_k GROUP BY {key}) s
+  count(*) FILTER (WHERE status = 'warning') AS w, count(*) FILTER (WHERE status = 'blocked') AS b, round(round(avg(score4), 4), 2) AS average_score FROM grades_k GROUP BY {key}) s
 LEFT JOIN (SELECT {key}, string_agg(reason, ',' ORDER BY n DESC, reason) AS top_reasons FROM (SELECT {key}, reason, count(*) AS n FROM (SELECT {key}, unnest(reasons) AS reason FROM grades_k)
   GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, reason) <= 5) GROUP BY {key}) t USING ({key})"""
 
 
 def _rolled(df: DataFrame, key: str) -> DataFrame:
     return quality.job_quality(df, key).select(
-        key, "status", F.round("average_score", 3).alias("average_score"), "ready_pages", "warning_pages", "blocked_pages", "measured_pages",
+        key, "status", F.round("average_score", 2).alias("average_score"), "ready_pages", "warning_pages", "blocked_pages", "measured_pages",
         F.array_join("top_reasons", ",").alias("top_reasons"))
 
 
@@ -586,7 +591,7 @@ def q_quality_by_language(spark, sf_dir):
     return _rolled(graded_pages(spark, sf_dir).join(docs, "doc_id"), "lang")
 
 
-@query("parse_quality_score", f"WITH {SHEET_SQL} SELECT doc_id, round(avg(confidence), 3) AS parse_quality_score FROM sheet GROUP BY doc_id")
+@query("parse_quality_score", f"WITH {SHEET_SQL} SELECT doc_id, round(round(avg(confidence), 4), 3) AS parse_quality_score FROM sheet GROUP BY doc_id")
 def q_parse_quality_score(spark, sf_dir):
     return quality.parse_quality_score(sheet_blocks(spark, sf_dir)).select("doc_id", F.round("parse_quality_score", 3).alias("parse_quality_score"))
 
