@@ -241,13 +241,15 @@ def q_raw_items(spark, sf_dir):
     return reports.raw_items(listed.select("doc_id", "page_no", payload.alias("payload")))
 
 
-@query("page_regions", f"""WITH {SHEET_SQL}
-SELECT doc_id, page_no, 'article' AS label, x0, y0, x1 + 300 AS x1, least(y1 + 700, 3509) AS y1, {q.squeeze(q.strip_markup('text'))} AS text, '#00B894' AS color FROM sheet WHERE label = 'title'
-UNION ALL SELECT doc_id, page_no, 'title', x0, y0, x1, y1, {q.squeeze(q.strip_markup('text'))}, '#FDCB6E' FROM sheet WHERE label = 'title'
-UNION ALL SELECT doc_id, page_no, 'image', x0, y0, x1, y1, 'article #1', '#0984E3' FROM sheet WHERE label = 'image'
-UNION ALL SELECT doc_id, page_no, label, CAST(round_even(x0 / 1000 * 2480, 0) AS INT), CAST(round_even(y0 / 1000 * 3509, 0) AS INT), CAST(round_even(x1 / 1000 * 2480, 0) AS INT),
-  CAST(round_even(y1 / 1000 * 3509, 0) AS INT), text, '#E17055' FROM sheet WHERE label = 'header' AND block_id = 'h-0'
-UNION ALL SELECT doc_id, page_no, label, x0, y0, x1, y1, text, '#E17055' FROM sheet WHERE label = 'header' AND block_id = 'h-1'""")
+@query("page_regions", f"""WITH {SHEET_SQL}, raw AS (
+  SELECT doc_id, page_no, 'article' AS label, x0, y0, x1 + 300 AS x1, y1 + 700 AS y1, {q.squeeze(q.strip_markup('text'))} AS text, '#00B894' AS color FROM sheet WHERE label = 'title'
+  UNION ALL SELECT doc_id, page_no, 'title', x0, y0, x1, y1, {q.squeeze(q.strip_markup('text'))}, '#FDCB6E' FROM sheet WHERE label = 'title'
+  UNION ALL SELECT doc_id, page_no, 'image', x0, y0, x1, y1, 'article #1', '#0984E3' FROM sheet WHERE label = 'image'
+  UNION ALL SELECT doc_id, page_no, label, x0, y0, x1, y1, text, '#E17055' FROM sheet WHERE label = 'header'),
+k AS (SELECT *, x1 <= 1100 AND y1 <= 1100 AND x1 / 2480 <= 0.6 AND y1 / 3509 <= 0.6 AS s FROM raw)
+SELECT doc_id, page_no, label, text, color, CAST(CASE WHEN s THEN round_even(x0 / 1000 * 2480, 0) ELSE x0 END AS INT) AS x0, CAST(CASE WHEN s THEN round_even(y0 / 1000 * 3509, 0) ELSE y0 END AS INT) AS y0,
+  CAST(CASE WHEN s THEN least(2480, round_even(x1 / 1000 * 2480, 0)) ELSE least(2480, x1) END AS INT) AS x1,
+  CAST(CASE WHEN s THEN least(3509, round_even(y1 / 1000 * 3509, 0)) ELSE least(3509, y1) END AS INT) AS y1 FROM k""")
 def q_page_regions(spark, sf_dir):
     b = sheet_blocks(spark, sf_dir)
     t = b.where(F.col("label") == "title").withColumnsRenamed({"text": "title"} | {s: f"title_{s}" for s in Box._fields})
