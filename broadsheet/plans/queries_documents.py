@@ -193,7 +193,7 @@ def records(spark, sf_dir) -> DataFrame:
     """Order forms as text, with gaps, from orders."""
     k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
     text = F.concat_ws(
-        "\n", F.lit("  주문 기록"), F.concat(F.lit("우선순위: "), "o_orderpriority"), F.when(k % 2 == 0, F.concat(F.lit("합계 ： "), F.format_string("%.1f", "o_totalprice"))),
+        "\n", F.lit("  주문 기록"), F.concat(F.lit("우선순위: "), "o_orderpriority"), F.when(k % 2 == 0, F.concat(F.lit("합계 ： "), F.floor("o_totalprice").cast("string"), F.lit(".5"))),
         F.when(k % 3 == 0, F.concat(F.lit("CUST="), c)), F.when(k % 4 == 0, F.concat(F.lit("문서번호: A-"), c)), F.when(k % 5 == 0, F.concat(F.lit("일자 "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 접수"))),
         F.when(k % 3 == 1, F.concat(F.lit("제"), c, F.lit("사단 소속"))), F.when(k % 4 == 1, F.concat(F.lit("전화 02-555-"), F.format_string("%04d", k % 10000))),
         F.when(k % 5 == 1, F.concat(F.lit("작성자: 홍길동 "), c)), F.when(k % 4 == 2, F.lit("승인 yes 완료")))
@@ -202,7 +202,7 @@ def records(spark, sf_dir) -> DataFrame:
         F.when(k % 2 == 1, F.lit(" 본문 ")).alias("article_body"))
 
 
-_TEXT = """concat_ws(chr(10), '  주문 기록', '우선순위: ' || o_orderpriority, CASE WHEN k % 2 = 0 THEN '합계 ： ' || printf('%.1f', o_totalprice) END, CASE WHEN k % 3 = 0 THEN 'CUST=' || o_custkey END,
+_TEXT = """concat_ws(chr(10), '  주문 기록', '우선순위: ' || o_orderpriority, CASE WHEN k % 2 = 0 THEN '합계 ： ' || CAST(floor(o_totalprice) AS BIGINT) || '.5' END, CASE WHEN k % 3 = 0 THEN 'CUST=' || o_custkey END,
   CASE WHEN k % 4 = 0 THEN '문서번호: A-' || o_custkey END, CASE WHEN k % 5 = 0 THEN '일자 ' || strftime(o_orderdate, '%Y-%m-%d') || ' 접수' END, CASE WHEN k % 3 = 1 THEN '제' || o_custkey || '사단 소속' END,
   CASE WHEN k % 4 = 1 THEN '전화 02-555-' || printf('%04d', k % 10000) END, CASE WHEN k % 5 = 1 THEN '작성자: 홍길동 ' || o_custkey END, CASE WHEN k % 4 = 2 THEN '승인 yes 완료' END)"""
 
