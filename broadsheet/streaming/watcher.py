@@ -17,7 +17,8 @@ def stable_files_stream(scans: DataFrame, stable_scans: int = 2) -> DataFrame:
 
     The state of a path is its last scan, fingerprint and how many scans that has lasted; rows of a
     batch are taken by scan id, whatever order they came in. A path missing from a scan starts
-    over, as its next scan id is not the one expected. State of paths silent for a day is dropped.
+    over, as its next scan id is not the one expected. State of paths silent for a day is dropped,
+    which keeps the query making batches; give it a processing-time trigger of the poll interval.
     """
 
     def release(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
