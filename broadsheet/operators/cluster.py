@@ -171,9 +171,11 @@ FACTS = ("norm", "body", "title_text", "text_len", "norm_len", "body_len", "titl
 def page_rows(blocks: DataFrame) -> DataFrame:
     """One row per page: its size and ``blocks``, an array of structs in list order.
 
-    Every struct carries its place in the array (``i``), its facts and, for textish blocks, its
-    column. This is the only shuffle of the clustering.
+    Every struct carries its facts; ``columns`` runs alongside. The raw blocks are shuffled by page
+    first, which is the only shuffle of the clustering: the facts, several copies of the text, are
+    computed behind it and the grouping reuses its partitioning.
     """
+    blocks = blocks.repartition(*PAGE)
     layout = F.col("layout_label") if "layout_label" in blocks.columns else F.lit(None).cast("string")
     known = blocks.select(
         *PAGE, "width", "height", "seq", "block_id", "label", "x0", "y0", "x1", "y1", "text", "confidence",
