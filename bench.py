@@ -11,9 +11,8 @@ from broadsheet.plans import load_catalog
 from broadsheet.session import build_session
 
 HEADLINE = (
-    "quality_by_language", "cluster_articles", "segment_pages", "blocks_from_markup", "merge_blocks", "normalize_page_boxes",
-    "plan_ingest", "job_detail", "stage_progress", "recent_logs", "raw_text_in_box", "heuristic_relevance", "delivery_preview",
-    "extract_fields", "join_pages_markdown", "stable_files",
+    "quality_by_language", "cluster_articles", "segment_pages", "plan_ingest", "job_detail", "stage_progress",
+    "recent_logs", "heuristic_relevance", "delivery_preview", "stable_files",
 )
 
 
