@@ -26,7 +26,6 @@ PUBLICATIONS = (
 )
 AGENCIES = ("연합뉴스", "뉴시스", "뉴스1")
 REPORTER_WORDS = (" 기자", " 특파원", " correspondent", " reporter")
-SENTENCE_ENDINGS = (".", "다.", "했다.", "있다.", "였다.")
 AD_WORDS = ("advertisement", "sponsored", "paid content", "광고", "전면광고")
 DISCOUNT_WORDS = ("할인", "특가", "이벤트", "분양")
 CONTACT_WORDS = ("문의", "상담", "예약", "대표번호")

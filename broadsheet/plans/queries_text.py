@@ -227,12 +227,9 @@ tables AS (SELECT doc_id, line_no, list_filter(list_transform(raw, lambda c: {q.
 
 def table_html(spark, sf_dir) -> DataFrame:
     """An F.col("html") table per document: a row per line, a cell per comma."""
-    cells = F.split(F.regexp_replace("line", "[<>&|]", ""), ", ")
-    row = F.concat(F.lit('<TR class="r"><td>'), F.array_join(cells, "</td>\n<TH scope='col'>").alias("r"), F.lit("</td></TR>"))
     per_doc = table(spark, sf_dir, "documents").select("doc_id", tx.non_empty_lines(F.col("text")).alias("ls"))
     rows = F.transform("ls", lambda line: F.concat(F.lit('<TR class="r"><td>'), F.array_join(
         F.split(F.regexp_replace(line, "[<>&|]", ""), ", "), "</td>\n<td x='1'>"), F.lit("</td></TR>")))
-    del cells, row
     return per_doc.select("doc_id", F.concat(F.lit("<table>"), F.array_join(rows, "\n"), F.lit("</table>")).alias("html"))
 
 
@@ -310,9 +307,7 @@ def q_markdown_to_html(spark, sf_dir):
         return (F.when(i % 5 == 0, F.concat(F.lit("# "), line)).when(i % 5 == 1, F.concat(F.lit("#######"), line))
                 .otherwise(F.concat(F.lit("  "), line, F.lit("\r"))))
 
-    marked = F.transform(F.filter(tx.non_empty_lines(F.col("text")), lambda x: F.lit(True)), mark)
     plain = F.filter(F.transform(tx.non_empty_lines(F.col("text")), lambda x, i: F.when(F.substring(x, 1, 1) != "#", mark(x, i))), F.isnotnull)
-    del marked
     docs = table(spark, sf_dir, "documents").select("doc_id", plain.alias("ls")).where(F.size("ls") > 0)
     return docs.select("doc_id", tx.markdown_to_html(F.array_join("ls", "\n\n")).alias("html"))
 
