@@ -31,45 +31,60 @@ PACKET = 16
 SLICES = 1024
 ROUNDS = 64
 BLOCKS = 4096
-CACHE = 300_000
+CACHE = 500_000
 LONGEST_CACHED = 100
+#: Fixed value: the pattern by which the tokenizer file cuts lower-case text.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokens:
-    """Token ids of texts by words between ASCII blanks, which the tokenizer never joins; known words come from a cache."""
+    """Token ids of texts by words between ASCII blanks, which the tokenizer never joins.
+
+    Words and, below them, their lower-case pre-tokens come from two caches that take no more than CACHE entries each.
+    """
 
     def __init__(self, path: str):
         import re
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.known = Tokenizer.from_file(path), {}
+        self.tok, self.words_known, self.parts_known = Tokenizer.from_file(path), {}, {}
         self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.words = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+        self.parts = regex.compile(PRE_TOKENS).findall
+        # Below U+0300 every text is in composed form and lower-cases letter by letter.
+        self.other = re.compile("[^\x00-\u02ff]").search
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda t: None
 
     def raw(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        from array import array
+
+        code = "H" if self.kind == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def through(self, cache: dict, keys: list[str], make) -> list[bytes]:
+        """The values of ``keys``; those not in the cache are made, each once, and kept while there is room."""
+        new = [k for k in dict.fromkeys(keys) if k not in cache]
+        if not new:
+            return list(map(cache.__getitem__, keys))
+        fresh = dict(zip(new, make(new)))
+        if len(cache) < CACHE:
+            cache.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_CACHED)
+        return [fresh[k] if k in fresh else cache[k] for k in keys]
+
+    def new_words(self, words: list[str]) -> list[bytes]:
+        cut = [[w] if self.other(w) else self.parts(w.lower()) for w in words]
+        found = iter(self.through(self.parts_known, [p for parts in cut for p in parts], self.raw))
+        return [b"".join([next(found) for _ in parts]) for parts in cut]
 
     def ids(self, text: str) -> bytes:
         if self.added(text):  # added tokens may hold or touch blanks: the library cuts such a text
             return self.raw([text])[0]
-        words = self.words(text)
-        new = list({w for w in words if w not in self.known})
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {}, list(set(words))
-            long = [w for w in new if len(w) > LONGEST_CACHED]
-            self.known.update(zip(new, self.raw(new)))
-            out = b"".join(map(self.known.__getitem__, words))
-            for w in long:
-                del self.known[w]
-            return out
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(self.through(self.words_known, self.words(text), self.new_words))
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
