@@ -95,9 +95,12 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))],
                                              ["doc_id", "text_key", "last", "k", "chunk", "head", "tail"])
 
-    noted = chunks.mapInArrow(pre_tokenise, f"{given}, {bounds}")
     row = ["doc_id", "text_key"]
-    noted = noted.groupBy(*row, "k").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("last", "chunk", "head", "tail")))
+    noted = chunks.mapInArrow(pre_tokenise, f"{given}, {bounds}").repartition(*row)
+    # Equal rows give equal chunks: one of each goes on, with their number. All windows share one shuffle by row.
+    same = Window.partitionBy(*row, "k")
+    noted = noted.withColumn("copies", F.count("*").over(same)).withColumn("copy", F.row_number().over(same.orderBy("last")))
+    noted = noted.filter("copy = 1").drop("copy")
     along = Window.partitionBy(*row).orderBy("k")
     # Chunk-relative position from which this chunk and the one before agree; null where they share no bound.
     met = F.array_min(F.array_intersect(F.lag("tail").over(along), "head"))
@@ -122,11 +125,11 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
                                              ["doc_id", "text_key", "piece", "copies", "n_tokens", "ids", "decoded"])
 
     done = pieces.mapInArrow(by_piece, f"doc_id {kind}, text_key string, piece long, copies long, {_PIECE}")
-    in_order = F.array_sort(F.collect_list(F.struct("piece", "ids", F.hex("decoded").alias("bytes"))))
+    in_order = F.array_sort(F.collect_list(F.struct("piece", "ids", "decoded")))
     rows = done.groupBy(*row).agg(F.first("copies").alias("copies"), F.sum("n_tokens").alias("n_tokens"), in_order.alias("p"))
     long = rows.select(
         "doc_id", "n_tokens", F.array_join(F.transform("p", lambda x: x["ids"]), " ").alias("ids"),
-        F.unhex(F.array_join(F.transform("p", lambda x: x["bytes"]), "")).alias("decoded"), "copies")
+        F.unhex(F.array_join(F.transform("p", lambda x: F.hex(x["decoded"])), "")).alias("decoded"), "copies")
     long = long.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copy", "copies")
     return short.unionByName(long)
 
