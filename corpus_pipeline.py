@@ -19,8 +19,9 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose pairwise quality score reaches the cut."""
-    scored = pairwise_quality.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), out=_OWN)
+    """Documents whose pairwise quality score reaches the cut; learned from the whole table, since the rules took most bad texts."""
+    scored = pairwise_quality.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), out=_OWN,
+                                    learn_from=table(spark, sf_dir, "documents"))
     return scored.filter(F.col(_OWN) >= pairwise_quality.CUT).select(*COLUMNS)
 
 
