@@ -152,11 +152,11 @@ JOBS_SQL = """jobs AS (
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A line item is a page; its line number is the file within the job."""
+    """A line item is a page; its line number is the file within the job. The price makes its id unique."""
     flag, line = F.col("l_returnflag"), F.col("l_linestatus")
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("job_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("file_id"),
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("page_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("page_id"),
         (F.col("l_partkey") % 40 + 1).cast("int").alias("page_number"),
         F.when(line == "F", "parsed").when(flag == "R", "failed").otherwise("running").alias("status"),
         (F.col("l_quantity") % 4).cast("int").alias("n_articles"), F.col("l_discount").alias("discount"),
@@ -165,7 +165,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGES_SQL = """pages_t AS (
   SELECT l_orderkey AS job_id, l_orderkey * 10 + l_linenumber AS file_id,
-         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS page_id,
+         l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS page_id,
          CAST(l_partkey % 40 + 1 AS INT) AS page_number,
          CASE WHEN l_linestatus = 'F' THEN 'parsed' WHEN l_returnflag = 'R' THEN 'failed' ELSE 'running' END AS status,
          CAST(l_quantity % 4 AS INT) AS n_articles, l_discount AS discount, l_extendedprice AS price,

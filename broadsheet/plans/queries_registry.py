@@ -146,6 +146,16 @@ BUNDLE_SQL = f"""{ARTICLES_SQL}, b AS (SELECT job_id % 500 AS j, 'job_2024' || p
 p AS (SELECT job_key, pdf_file, page_number, count(*) AS n FROM b JOIN fresh USING (job_key) WHERE page_number > 0 GROUP BY 1, 2, 3)
 SELECT job_key, count(DISTINCT pdf_file) AS total_files, count(*) AS total_pages, sum(n) AS total_articles, substr(job_key, 5, 4) || '-' || substr(job_key, 9, 2) || '-05' AS requested_date FROM p GROUP BY 1""")
 def q_import_archive(spark, sf_dir):
+    b = bundle_rows(spark, sf_dir)
+    known = b.groupBy("job_key").agg(F.max("mtime").alias("m")).where(F.col("m") % 3 == 0)
+    found, _ = bundles.import_archive(b, known, limit=24)
+    return found.select("job_key", "total_files", "total_pages", "total_articles", F.col("requested_date").cast("string").alias("requested_date"))
+
+
+@query("import_archive_all", f"""WITH {BUNDLE_SQL}, dirs AS (SELECT job_key, max(mtime) AS m FROM b GROUP BY 1), fresh AS (SELECT * FROM dirs WHERE m % 3 > 0),
+p AS (SELECT job_key, pdf_file, page_number, count(*) AS n FROM b JOIN fresh USING (job_key) WHERE page_number > 0 GROUP BY 1, 2, 3)
+SELECT job_key, count(DISTINCT pdf_file) AS total_files, count(*) AS total_pages, sum(n) AS total_articles, substr(job_key, 5, 4) || '-' || substr(job_key, 9, 2) || '-05' AS requested_date FROM p GROUP BY 1""")
+def q_import_archive_all(spark, sf_dir):
     b = bundle_rows(spark, sf_dir)
     known = b.groupBy("job_key").agg(F.max("mtime").alias("m")).where(F.col("m") % 3 == 0)
     found, _ = bundles.import_archive(b, known)

@@ -50,14 +50,14 @@ def with_path_keys(records: DataFrame) -> DataFrame:
         "title": F.coalesce("title", F.lit("")), "body_text": F.coalesce("body_text", F.lit(""))})
 
 
-def import_archive(bundles: DataFrame, existing_jobs: DataFrame, limit: int = 24) -> tuple[DataFrame, DataFrame]:
+def import_archive(bundles: DataFrame, existing_jobs: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Jobs and pages of the newest stored jobs that are not in the registry yet.
 
-    ``bundles`` has job_key, pdf_file, page_number, article_order and mtime. The newest ``limit``
-    stored jobs are looked at, known ones among them included. ``total_articles`` counts articles.
+    ``bundles`` has job_key, pdf_file, page_number, article_order and mtime. With a ``limit``,
+    only the newest stored jobs are looked at, known ones among them included. ``total_articles`` counts articles.
     """
     dirs = bundles.groupBy("job_key").agg(F.max("mtime").alias("mtime"))
-    newest = dirs.orderBy(F.desc("mtime"), "job_key").limit(limit)
+    newest = dirs if limit is None else dirs.orderBy(F.desc("mtime"), "job_key").limit(limit)
     fresh = newest.join(existing_jobs.select("job_key").distinct(), "job_key", "left_anti")
     rows = bundles.where(F.col("page_number") > 0).join(fresh.select("job_key", F.col("mtime").alias("requested_at")), "job_key")
     pages = rows.groupBy("job_key", "requested_at", "pdf_file", "page_number").agg(F.count(F.lit(1)).alias("article_count"))
