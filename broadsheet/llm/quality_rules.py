@@ -55,6 +55,8 @@ def verdict(rules=THRESHOLDS) -> str:
     return " AND ".join(tests) or "TRUE"
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_lines")
+#: The base rule; ``judge`` has it as a Column.
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 
 
@@ -99,18 +101,37 @@ def text_counts(text: Column) -> Column:
     return let(words_of(text), lambda w: let(lines, lambda s: of(w, s)))
 
 
+def compiled(counts: Column, rules=THRESHOLDS) -> Column:
+    """``verdict`` as a Column over a struct of counts."""
+    test = F.lit(True)
+    for r in rules:
+        part, whole = 100 * counts[r.part], counts[r.whole]
+        test = test & (part >= r.low * whole if r.low is not None else F.lit(True))
+        test = test & (part <= r.high * whole if r.high is not None else F.lit(True))
+    return test
+
+
 def judge(docs: DataFrame, text: str = "text", rules=THRESHOLDS, out: str = "quality_rules") -> DataFrame:
-    """``docs`` with a struct column ``out``: the counts, ``base_failed`` and ``kept``."""
-    counted = docs.withColumn(out, text_counts(F.col(text)))
-    base = F.expr(_within(BASE_FAILED, out))
-    kept = ~base & F.expr(_within(verdict(rules), out))
-    return counted.withColumn(out, F.col(out).withField("base_failed", base).withField("kept", kept))
+    """``docs`` with a struct column ``out``: the counts, ``base_failed`` and ``kept``.
+
+    The counts are bound once, so that a filter on ``kept`` that Spark pushes down doesn't count once per rule.
+    """
+    def judged(c: Column) -> Column:
+        base = (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
+        return F.struct(*(c[n].alias(n) for n in COUNTS), base.alias("base_failed"), (~base & compiled(c, rules)).alias("kept"))
+
+    return docs.withColumn(out, let(text_counts(F.col(text)), judged))
 
 
-def _within(sql: str, struct: str) -> str:
-    import re
+def keep(docs: DataFrame, text: str = "text", rules=THRESHOLDS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep.
 
-    return re.sub(r"\b(n_\w+|word_chars)\b", rf"`{struct}`.\1", sql)
+    A filter would be evaluated about four times as slowly (15 s for 4 s on 10,000 texts), so rejected rows leave as
+    empty arrays of a generator, which counts once.
+    """
+    found = judge(docs, text, rules, "kept_by_rules").select(*docs.columns, F.explode(F.filter(
+        F.array("kept_by_rules"), lambda v: v["kept"])).alias("kept_by_rules"))
+    return found.select(*docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
