@@ -15,14 +15,16 @@ _OWN = "corpus_pipeline_verdict"
 
 def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return quality_rules.judge(docs.select(*COLUMNS), out=_OWN).filter(F.col(f"{_OWN}.kept")).select(*COLUMNS)
+    return quality_rules.keep(docs.select(*COLUMNS))
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose pairwise quality score reaches the cut; learned from the whole table, since the rules took most bad texts."""
     scored = pairwise_quality.score(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), out=_OWN,
                                     learn_from=table(spark, sf_dir, "documents"))
-    return scored.filter(F.col(_OWN) >= pairwise_quality.CUT).select(*COLUMNS)
+    # A generator evaluates the score once a row; a filter would be pushed down and evaluate it several times.
+    good = F.explode(F.filter(F.array(_OWN), lambda s: s >= pairwise_quality.CUT)).alias(_OWN)
+    return scored.select(*COLUMNS, good).select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
