@@ -11,12 +11,14 @@
 
 Large cells are split into slots, so a vector that a third of all rows share is spread. Vectors that are null or hold
 null or non-finite components take no part; shorter vectors count as padded with zeros; an empty vector scores 0. A
-query never meets rows of its own id, repeated ones included; repeated candidate rows with one id are listed once.
+query never meets rows of its own id, repeated ones included; rows with one id, however many, are listed once, with
+their best score.
 Null ids are neither queries nor candidates. Ties go to the smaller id. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,14 +68,18 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if top < 2 ** 52 else q @ x.T
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int):
-    """The k best of one row: higher score first, then smaller id."""
-    if len(ids) > 4 * k:
+def _best(ids: np.ndarray, scores: np.ndarray, k: int, repeated: bool):
+    """The k best ids of one row: higher score first, then smaller id; an id that is repeated counts once."""
+    if len(ids) > 4 * k and not repeated:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
         pick = np.flatnonzero(scores >= edge)
         ids, scores = ids[pick], scores[pick]
     order = np.lexsort((ids, -scores))
-    return ids[order], scores[order]
+    ids, scores = ids[order], scores[order]
+    if repeated:
+        first = np.sort(np.unique(ids, return_index=True)[1])
+        ids, scores = ids[first], scores[first]
+    return ids[:k], scores[:k]
 
 
 def search(vectors: DataFrame, k: int, is_query: Column, pivots: int = PIVOTS, block: int = BLOCK, slot: int = SLOT) -> DataFrame:
@@ -107,19 +113,28 @@ def search(vectors: DataFrame, k: int, is_query: Column, pivots: int = PIVOTS, b
                 full = np.array([np.square(np.frombuffer(v, np.int64).astype(float)).sum() for v in rows["x"]])
                 along = x.astype(float) @ unit[cell]
                 rest = np.sqrt(np.maximum(full - along * along, 0))
-                s = kept.setdefault(int(cell), [0, np.inf, -np.inf, 0.0, np.zeros((0, 2))])
+                s = kept.setdefault(int(cell), [0, np.inf, -np.inf, 0.0, np.zeros(0, np.int64), np.zeros((0, 2))])
                 s[0], s[1], s[2], s[3] = s[0] + len(x), min(s[1], along.min()), max(s[2], along.max()), max(s[3], rest.max())
-                near = np.concatenate([s[4], np.stack([along, rest], 1)])
-                s[4] = near[np.argsort(near[:, 1] - near[:, 0])[:low]]
-        for cell, (n, a, z, r, near) in kept.items():
-            yield pd.DataFrame([{"cell": cell, "n": n, "least": a, "most": z, "rest": r, "near": near.ravel().tolist()}])
-
-    partial = placed.mapInPandas(summarise, "cell int, n long, least double, most double, rest double, near array<double>")
-    merged = partial.groupBy("cell").agg(
-        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("rest").alias("rest"),
-        F.slice(F.array_sort(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("near") - 2, F.lit(2)), lambda i: F.struct(
-            (F.get("near", i + 1) - F.get("near", i)).alias("key"), F.get("near", i).alias("along"), F.get("near", i + 1).alias("rest")))))), 1, low).alias("near"))
-    summary = {r.cell: r for r in merged.collect()}  # at most one row per pivot
+                ids, near = np.concatenate([s[4], rows["id"].to_numpy(np.int64)]), np.concatenate([s[5], np.stack([along, rest], 1)])
+                by_key = np.argsort(near[:, 1] - near[:, 0], kind="stable")
+                best = by_key[np.sort(np.unique(ids[by_key], return_index=True)[1])[:low]]  # an id once, by its best row
+                s[4], s[5] = ids[best], near[best]
+        for cell, (n, a, z, r, ids, near) in kept.items():
+            yield pd.DataFrame([{"cell": cell, "n": n, "least": a, "most": z, "rest": r, "ids": ids.tolist(),
+                                 "along": near[:, 0].tolist(), "left": near[:, 1].tolist()}])
+
+    partial = stored(placed.mapInPandas(
+        summarise, "cell int, n long, least double, most double, rest double, ids array<long>, along array<double>, left array<double>"), "voronoi-cells")
+    summary = {r.cell: r for r in partial.groupBy("cell").agg(
+        F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.max("rest").alias("rest")).collect()}  # a row per pivot
+    members = partial.select("cell", F.explode(F.arrays_zip("ids", "along", "left")).alias("e")).select(
+        "cell", F.col("e.ids").alias("id"), F.struct((F.col("e.left") - F.col("e.along")).alias("key"), "e.along", "e.left").alias("e"))
+    best_first = F.row_number().over(Window.partitionBy("cell").orderBy("e.key", "id"))
+    members = members.groupBy("cell", "id").agg(F.min("e").alias("e")).withColumn("place", best_first).filter(F.col("place") <= low)
+    known: dict[int, list] = {}
+    for r in members.select("cell", "id", "e.along", "e.left").collect():  # at most ``low`` rows per pivot
+        known.setdefault(r.cell, []).append((r.id, r.along, r.left))
+    copies = max(Counter(i for rows in known.values() for i, _, _ in rows).values())
     order = sorted(summary)
     slots = {c: -(-summary[c].n // slot) for c in order}
 
@@ -128,7 +143,8 @@ def search(vectors: DataFrame, k: int, is_query: Column, pivots: int = PIVOTS, b
 
         u = unit[order]
         least, most, rest = (np.array([getattr(summary[c], f) for c in order]) for f in ("least", "most", "rest"))
-        near = [np.array([(e.along, e.rest) for e in summary[c].near]) for c in order]
+        near = [np.array([e[1:] for e in known[c]]) for c in order]
+        enough = k * copies + 1  # so many members are of k ids beside the query's own, if an id stands in several cells too
         for b in batches:
             ids, raw = b["id"].to_numpy(), list(b["x"])
             for at in range(0, len(b), block):
@@ -138,7 +154,7 @@ def search(vectors: DataFrame, k: int, is_query: Column, pivots: int = PIVOTS, b
                 full = np.array([np.square(v.astype(float)).sum() for v in part])
                 left = np.sqrt(np.maximum(full[:, None] - along * along, 0))
                 lower = np.concatenate([along[:, [j]] * e[:, 0] - left[:, [j]] * e[:, 1] for j, e in enumerate(near)], 1)
-                sure = np.sort(lower, 1)[:, -low] if lower.shape[1] >= low else np.full(len(q), -np.inf)
+                sure = np.sort(lower, 1)[:, -enough] if lower.shape[1] >= enough else np.full(len(q), -np.inf)
                 upper = np.maximum(along * least, along * most) + left * rest
                 slack = 1e-9 * (np.abs(sure)[:, None] + np.abs(upper)) + 1e-6
                 for j, c in enumerate(order):
@@ -174,12 +190,11 @@ def search(vectors: DataFrame, k: int, is_query: Column, pivots: int = PIVOTS, b
             for r in b.itertuples():
                 q_ids, d_ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.d_ids, np.int64)
                 scores = _products(np.frombuffer(r.q, np.int64).reshape(len(q_ids), r.q_width), np.frombuffer(r.d, np.int64).reshape(len(d_ids), r.d_width))
+                repeated = len(np.unique(d_ids)) < len(d_ids)
                 for row, me in zip(scores, q_ids):
                     other = d_ids != me
-                    ids, best = _best(d_ids[other], row[other], k)
-                    _, first = np.unique(ids, return_index=True)  # a repeated id's best row only
-                    pick = np.sort(first)[:k]
-                    found.append((np.full(len(pick), me), ids[pick], best[pick]))
+                    ids, best = _best(d_ids[other], row[other], k, repeated)
+                    found.append((np.full(len(ids), me), ids, best))
             if found:
                 yield pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*found)))))
 

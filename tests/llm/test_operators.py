@@ -219,6 +219,23 @@ def test_search_against_all_products(spark):
     assert voronoi.search(rows.limit(0), 5, F.col("id") % 10 == 0).count() == 0
 
 
+def test_search_lists_a_repeated_id_once(spark):
+    """Ids with many rows, equal or not, take one place of the k; their best row counts."""
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.integers(-50, 50, 4).tolist()) for i in range(120)]
+    rows += [(3, [90, 90, 90, 90 + j % 2]) for j in range(60)] + [(10, [80, -80, 80, j]) for j in range(40)] + [(7, (70 * s).tolist()) for s in np.eye(4, dtype=int)]
+    frame = spark.createDataFrame(rows, "id long, v array<long>").repartition(4)
+    best = {}
+    for q, a in rows:
+        for d, b in rows:
+            if q % 10 == 0 and q != d:
+                best[q, d] = max(best.get((q, d), -1 << 40), sum(x * y for x, y in zip(a, b)))
+    expected = {(q, n + 1, d, -s) for q in {q for q, _ in best}
+                for n, (s, d) in enumerate(sorted((-s, d) for (p, d), s in best.items() if p == q)[:5])}
+    for options in ({}, {"pivots": 6, "block": 16, "slot": 20}):
+        assert {tuple(r) for r in voronoi.search(frame, 5, F.col("id") % 10 == 0, **options).collect()} == expected
+
+
 def test_search_skips_far_cells(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(8)[i % 8] * 1000 + rng.integers(-9, 9, 8)).astype(int).tolist()) for i in range(800)]
