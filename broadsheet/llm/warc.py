@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import shared_path, table
+from broadsheet.llm.common import shared_path, stored, table
 
 SALTS = 64
 _EOL = "\r\n"
@@ -198,7 +198,8 @@ def assemble(records: DataFrame) -> DataFrame:
 def op1_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_archives(spark, path, keep_payload=False))
+    # The links meet the records several times: they are parsed once, and only headers and digests are kept.
+    captures = assemble(stored(read_archives(spark, path, keep_payload=False), "warc-records"))
     fields = F.concat(F.lit("\r\n"), F.array_join(F.transform("metadata", lambda m: m["fields"]), ""))
     number = lambda name: F.regexp_extract(fields, rf"\r\n{name}: (-?\d+)\r\n", 1)
     as_long = lambda c: F.when(c != "", c.cast("long"))
