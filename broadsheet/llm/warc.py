@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.llm.common import shared_path, stored, table
+from broadsheet.llm.common import let, shared_path, stored, table
 
 SALTS = 64
 _EOL = "\r\n"
@@ -33,9 +33,9 @@ _DATE = "2024-01-01T00:00:00Z"
 
 def base32_sha1(payload: Column) -> Column:
     """The bare upper-case base32 form of SHA-1; 40 hex digits are 8 groups of 20 bits, hence of 4 base32 digits."""
-    digits = F.sha1(payload)
-    groups = [F.lpad(F.conv(F.substring(digits, 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
-    return F.translate(F.concat(*groups), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    group = lambda digits, k: F.lpad(F.conv(F.substring(digits, 5 * k + 1, 5), 16, 32), 4, "0")
+    digits = let(F.sha1(payload), lambda digits: F.concat(*(group(digits, k) for k in range(8))))
+    return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def choose_responses(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
@@ -114,31 +114,29 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row per record of the WARC files in ``path``: its headers, ids, payload (unchunked) and payload facts."""
     raw = spark.read.option("lineSep", f"{_EOL}{_MARK}{_EOL}").text(path)
-    text = F.regexp_replace("value", rf"\A{_MARK}{_EOL}", "")
-    cut = F.instr(text, _EOL + _EOL)
-    rows = raw.select(F.expr("1 AS one"), text.alias("record"), cut.alias("cut")).filter("cut > 0")
-    rows = rows.select(F.concat(F.lit(_EOL), F.substring("record", F.lit(1), F.col("cut") + 1)).alias("head"),
-                       F.substring("record", F.col("cut") + 4, F.length("record")).cast("binary").alias("rest"))
+    # Cut by bytes, since a body need not be UTF-8. The first record of a file still starts with the mark, as one more head line.
+    top = lambda text: F.substring_index(text, _EOL + _EOL, 1)
+    rows = raw.filter(F.contains("value", F.lit(_EOL + _EOL))).select(
+        top(F.col("value")).alias("top"), F.col("value").cast("binary").alias("bytes"))
+    rows = rows.withColumn("head", F.concat(F.lit(_EOL), F.col("top"), F.lit(_EOL)))
 
     def header(name: str) -> Column:
-        found = F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1)
-        return F.when(found != "", found)
+        return let(F.regexp_extract("head", rf"(?i)\r\n{name}:[ \t]*([^\r\n]*)", 1), lambda found: F.when(found != "", found))
 
     rows = rows.select(
         header("WARC-Type").alias("record_type"), header("WARC-Record-ID").alias("record_id"),
         F.regexp_extract_all("head", F.lit(r"(?i)\r\nWARC-Concurrent-To:[ \t]*([^\r\n]*)"), 1).alias("concurrent_to"),
         header("WARC-Target-URI").alias("target_uri"),
         F.regexp_replace(header("WARC-Payload-Digest"), "(?i)^sha1:", "").alias("declared_digest"),
-        header("Content-Length").cast("long").alias("length"), "rest")
-    rows = rows.withColumn("block", F.expr("substring(rest, 1, cast(length as int))")).withColumn(
+        header("Content-Length").cast("long").alias("length"), F.octet_length("top").alias("begin"), "bytes")
+    rows = rows.withColumn("block", F.expr("substring(bytes, begin + 5, cast(length as int))")).withColumn(
         "truncated", F.octet_length("block") < F.col("length"))
-    # HTTP head and body; byte positions, since a body need not be UTF-8.
-    body_at = F.expr("octet_length(substring_index(cast(block as string), '\r\n\r\n', 1))")
-    rows = rows.withColumn("http_head", F.when(F.col("record_type").isin("response", "revisit"),
-                                               F.concat(F.expr("substring_index(cast(block as string), '\r\n\r\n', 1)"), F.lit(_EOL))))
+    rows = rows.withColumn("block_top", top(F.col("block").cast("string")))
+    rows = rows.withColumn("at", F.octet_length("block_top")).withColumn(
+        "http_head", F.when(F.col("record_type").isin("response", "revisit"), F.concat("block_top", F.lit(_EOL))))
     chunked = F.col("http_head").rlike(r"(?i)\r\nTransfer-Encoding:[ \t]*chunked")
     body = F.when(F.col("record_type") == "response", F.expr("substring(block, at + 5)"))
-    rows = rows.withColumn("at", body_at).withColumn("payload", F.when(chunked, _unchunk(body)).otherwise(body))
+    rows = rows.withColumn("payload", F.when(chunked, _unchunk(body)).otherwise(body))
     known = F.regexp_extract("http_head", r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1)
     rows = rows.withColumns({
         "payload_bytes": F.coalesce(F.octet_length("payload").cast("long"), F.when(known != "", known.cast("long"))),
