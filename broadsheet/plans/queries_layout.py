@@ -171,10 +171,12 @@ def sheet_payloads(spark, sf_dir, style: str) -> DataFrame:
     return listed.select(*PAGE, "width", "height", F.to_json(node).alias("payload"))
 
 
-@query("flatten_payload_a", f"""WITH {SHEET_SQL}
-SELECT DISTINCT doc_id, page_no, label AS kind, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, text FROM sheet""")
+@query("flatten_payload_a", f"""WITH {SHEET_SQL},
+kept AS (SELECT doc_id, page_no, label, x0, y0, x1, y1, text, min(seq) AS seq FROM sheet GROUP BY ALL)
+SELECT doc_id, page_no, label AS kind, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, text,
+  printf('block-%04d', row_number() OVER (PARTITION BY doc_id, page_no ORDER BY seq)) AS block_id FROM kept""")
 def q_flatten_payload_a(spark, sf_dir):
-    return payloads.flatten_payload_a(sheet_payloads(spark, sf_dir, "a")).select(*PAGE, "kind", *Box._fields, "text")
+    return payloads.flatten_payload_a(sheet_payloads(spark, sf_dir, "a")).select(*PAGE, "kind", *Box._fields, "text", "block_id")
 
 
 @query("flatten_payload_b", f"""WITH {SHEET_SQL}

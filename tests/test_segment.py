@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from broadsheet.operators import segment
 from broadsheet.sources import payloads
 
@@ -31,6 +33,17 @@ def test_walk_keeps_every_block_once(spark):
     assert {r.block_id for r in rows} == {b[0] for b in BLOCKS}
 
 
+def test_walk_enters_nodes_that_are_no_blocks_and_numbers_kept_ones(spark):
+    part = {"bbox": [10, 10, 50, 50], "text": "part"}
+    nodes = [{"bbox": [5, 5, 5, 5], "text": "no area", "lines": [part]}, {"bbox": [0, 60, 90, 90], "text": "whole", "lines": [
+        {"bbox": [0, 60, 90, 70], "text": "line"}]}, part, {"page_no": 2, "bbox": [1, 1, 9, 9], "text": "elsewhere", "blocks": [
+            {"bbox": [0, 95, 90, 99], "text": "child"}]}, {"id": "own", "bbox": [0, 100, 90, 110], "text": "named"}]
+    df = payload(spark).withColumn("payload", F.lit(json.dumps({"blocks": nodes}))).union(payload(spark).select(
+        F.lit(2), "page_no", "width", "height", F.lit("{broken")))
+    rows = payloads.flatten_payload_a(df).orderBy("seq").collect()
+    assert [(r.block_id, r.text) for r in rows] == [("block-0001", "part"), ("block-0002", "whole"), ("block-0003", "child"), ("own", "named")]
+
+
 def test_two_columns_three_articles(spark):
     blocks = payloads.flatten_payload_a(payload(spark))
     columned = segment.build_columns(blocks)
