@@ -75,6 +75,16 @@ def fill_stages(latest: DataFrame) -> DataFrame:
                        F.col("e.l.message").alias("message"), F.col("e.l.created_at").alias("updated_at"))
 
 
+def with_file_name(rows: DataFrame, files: DataFrame, file_id: Column, name: str, spread: str) -> DataFrame:
+    """``rows`` with the ``name`` of their file, null where ``file_id`` is null.
+
+    Most log rows have no file: they meet nothing, and are dealt out by ``spread`` instead of all by one null key.
+    """
+    rows = rows.withColumns({"_id": file_id, "_key": F.coalesce(file_id.cast("long"), F.xxhash64(spread))})
+    named = files.select(F.col("file_id").cast("long").alias("_file"), F.col("file_name").alias(name))
+    return rows.join(named, (F.col("_key") == F.col("_file")) & F.col("_id").isNotNull(), "left").drop("_id", "_key", "_file")
+
+
 def recent_logs(logs: DataFrame, files: DataFrame | None = None, n: int = 200) -> DataFrame:
     """The newest ``n`` log rows of each job, numbered oldest first, with their file's name.
 
@@ -84,9 +94,7 @@ def recent_logs(logs: DataFrame, files: DataFrame | None = None, n: int = 200) -
     top = logs.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n)
     oldest = Window.partitionBy("job_id").orderBy("created_at", "log_id")
     top = top.withColumn("position", F.row_number().over(oldest)).drop("_n")
-    if files is not None:
-        top = top.join(files.select("file_id", "file_name"), "file_id", "left")
-    return top
+    return top if files is None else with_file_name(top, files, F.col("file_id"), "file_name", "log_id")
 
 
 def job_rollup(files: DataFrame) -> DataFrame:
@@ -150,10 +158,8 @@ def job_activity(logs: DataFrame, files: DataFrame, stages: DataFrame) -> DataFr
         F.min_by(F.struct("stage_key", "message", "updated_at"), "stage_no").alias("stage"))
     running = files.where(F.col("status") == "running").groupBy("job_id").agg(F.min_by("file_name", "file_id").alias("running_file"))
     out = seen.join(stage, "job_id", "left").join(running, "job_id", "left")
-    out = out.join(files.select(F.col("file_id").alias("active_file_id"), F.col("file_name").alias("active_name")),
-                   F.col("active.file_id") == F.col("active_file_id"), "left")
-    out = out.join(files.select(F.col("file_id").alias("latest_file_id"), F.col("file_name").alias("latest_name")),
-                   F.col("latest.file_id") == F.col("latest_file_id"), "left")
+    out = with_file_name(out, files, F.col("active.file_id"), "active_name", "job_id")
+    out = with_file_name(out, files, F.col("latest.file_id"), "latest_name", "job_id")
     active, in_stage = F.col("active").isNotNull(), F.col("stage").isNotNull()
 
     def choose(a: str, s: str | Column, latest: str | Column) -> Column:
