@@ -63,11 +63,9 @@ def slices(texts):
         row = last
 
 
-def word_hashes(blob: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold: bool = True):
-    """(hash of each word, row of each word) in text order; ``fold`` lower-cases A-Z."""
+def _words(blob: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold: bool):
+    """(folded bytes, starts, ends, row) of the words of a blob that is not empty."""
     n, rows = len(blob), len(offsets) - 1
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if fold:
         blob = np.where((blob >= 0x41) & (blob <= 0x5A), blob + 32, blob).astype(np.uint8)
     gap = separators[blob]
@@ -77,11 +75,47 @@ def word_hashes(blob: np.ndarray, offsets: np.ndarray, separators: np.ndarray, f
     inner = offsets[(offsets > 0) & (offsets < n)]
     before[inner], after[inner - 1] = True, True
     starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
+    return blob, starts, ends, np.minimum(np.searchsorted(offsets[1:], starts, "right"), rows - 1)
+
+
+def _hasher(blob: np.ndarray):
+    """A function from starts and ends to the hashes of the bytes between them."""
+    n = len(blob)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((blob.astype(np.uint64) + np.uint64(1)) * _powers(_STEP, n), out=sums[1:])
-    raw = (sums[ends] - sums[starts]) * _powers(_BACK, n)[starts]
-    row = np.searchsorted(offsets[1:], starts, "right")
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), np.minimum(row, rows - 1)
+
+    def hashes(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        raw = (sums[ends] - sums[starts]) * _powers(_BACK, n)[starts]
+        return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+
+    return hashes
+
+
+def word_hashes(blob: np.ndarray, offsets: np.ndarray, separators: np.ndarray, fold: bool = True):
+    """(hash of each word, row of each word) in text order; ``fold`` lower-cases A-Z."""
+    if not len(blob):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blob, starts, ends, row = _words(blob, offsets, separators, fold)
+    return _hasher(blob)(starts, ends), row
+
+
+def word_and_prefix_hashes(blob: np.ndarray, offsets: np.ndarray, separators: np.ndarray, lengths):
+    """(hash of each word, its row), and for each of ``lengths`` (hash, row) of the first so many characters of the words that have them."""
+    if not len(blob):
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return none, [none] * len(lengths)
+    blob, starts, ends, row = _words(blob, offsets, separators, True)
+    hashes = _hasher(blob)
+    leads = (blob & 0xC0) != 0x80  # the first byte of each character
+    number = np.cumsum(leads)[starts] - 1
+    leads = np.flatnonzero(leads)
+    leads = np.append(leads, len(blob))
+    prefixes = []
+    for k in lengths:
+        upto = leads[np.minimum(number + k, len(leads) - 1)]
+        whole = (number + k < len(leads)) & (upto <= ends)
+        prefixes.append((hashes(starts[whole], upto[whole]), row[whole]))
+    return (hashes(starts, ends), row), prefixes
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, rows: int, width: int):

@@ -313,6 +313,18 @@ def test_machine_learns_a_pair_of_words(labelled):
     assert toxicity.score(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize("toxic, clean", [
+    (lambda i: f"plain zörkel{i:04x} text zörkel{i + 5000:04x} here", lambda i: f"plain mufel{i:04x} text mufel{i + 5000:04x} here"),  # a stem, no word twice
+    (lambda i: f"zörkel{i:04x} zörkel{i + 5000:04x} zörkel{i + 9000:04x} a", lambda i: f"zörkel{i:04x} a"),  # how often the stem stands there
+    (lambda i: "one blarf of zorg in two", lambda i: "one zorg of blarf in two"),  # a pair of words that tell nothing alone
+])
+def test_toxic_stems_counts_and_pairs(spark, toxic, clean):
+    letters = str.maketrans("0123456789", "ghijklmnop")  # runs of letters, each unlike all others
+    docs = spark.createDataFrame([(i, (clean(i) if i % 3 else toxic(i)).translate(letters)) for i in range(300)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    assert not [r for r in toxicity.score(docs, labels).collect() if held(r.doc_id) and (r.score >= toxicity.CUT) != (r.doc_id % 3 == 0)]
+
+
 def test_held_out_labels_are_never_read(labelled):
     docs, labels = labelled
     turned = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
