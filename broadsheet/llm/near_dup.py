@@ -1,7 +1,7 @@
 """Near duplicates (8) by bottom-k sketches from one hash function.
 
 1. A document's shingles are hashed once; its sketch is the SKETCH smallest distinct hashes. Documents with equal shingle sets
-   form a class at once; of copies in one task only the first one's sketch goes on.
+   form a class at once; of copies in one task only the sketch of the first one that has an id goes on.
 2. Inverted lists: documents of Jaccard similarity 0.8 share at least SHARED retained values (for sets that fit
    their sketch, exactly 80 % of them; for larger ones with a chance of failure below 1e-9, the tail of a binomial of mean
    0.8 * SKETCH). So two such documents share one of their m - SHARED + 1 rarest retained values, and only
@@ -48,7 +48,7 @@ def shingle_sets(texts, width: int):
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, k: int = SKETCH) -> DataFrame:
-    """doc_id, n (set size), key_a and key_b (128 bits of the set), retained (k smallest; null if this task had the set before)."""
+    """doc_id, n (set size), key_a and key_b (128 bits of the set), retained (k smallest; null if this task had the set before, or without an id)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator) -> Iterator:
@@ -56,6 +56,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = SKETCH) -> DataFrame:
 
         seen: set[tuple[int, int]] = set()
         for b in batches:
+            named = b.column(0).is_valid().to_numpy(zero_copy_only=False)
             for first, values, bounds in shingle_sets(b.column(1), width):
                 n = np.diff(bounds)
                 some = n > 0
@@ -65,7 +66,7 @@ def sketches(docs: DataFrame, width: int = WIDTH, k: int = SKETCH) -> DataFrame:
                     keys[1, some] = np.bitwise_xor.reduceat(mix(values * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1)), bounds[:-1][some])
                 kept = []
                 for r, pair in enumerate(zip(keys[0].tolist(), keys[1].tolist())):
-                    if some[r] and pair not in seen:
+                    if some[r] and named[first + r] and pair not in seen:  # lists() has no use for a row without an id
                         seen.add(pair)
                         kept.append(values[bounds[r]:min(bounds[r + 1], bounds[r] + k)].view(np.int64))
                     else:

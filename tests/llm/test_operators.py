@@ -178,6 +178,14 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.near_duplicates(docs).count() == len(TEXTS) + 2
 
 
+def test_copy_of_a_row_without_an_id_keeps_its_links(spark):
+    words = [f"w{i}" for i in range(40)]
+    text, near = " ".join(words), " ".join([*words, "end"])
+    frame = spark.createDataFrame([(None, text), (1, text), (2, near)], "doc_id long, text string").coalesce(1)
+    rows = near_dup.near_duplicates(frame).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in rows} == {(None, None, True), (1, 1, True), (2, 1, False)}
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (5, 5)], "a long, b long")
     found = {r.node: r.root for r in near_dup.components(edges).collect()}
