@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from broadsheet.functions import text as tx
 from broadsheet.operators import convert as cv
 from broadsheet.operators import extract as ex
 from broadsheet.plans import sqltext as q
@@ -24,12 +25,31 @@ def sheet_articles(spark, sf_dir) -> DataFrame:
     return titles.join(below, [*PAGE, "article_order"], "left").withColumn("body_text", F.coalesce("body_text", F.lit("")))
 
 
+def whole_articles(blocks: DataFrame) -> DataFrame:
+    """An article per title of every page: the title and all lines below it up to the next title, without headers."""
+    above = F.count_if(F.col("label") == "title").over(Window.partitionBy(*PAGE).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    b = blocks.select(*PAGE, "seq", "label", "text").withColumn("article_order", above).where("article_order > 0 AND label <> 'header'")
+    line = F.when((F.col("label") != "title") & (tx.strip(F.col("text")) != ""), F.struct("seq", F.col("text").alias("text")))
+    lines_below = F.sort_array(F.collect_list(line))
+    return b.groupBy(*PAGE, "article_order").agg(
+        F.max(F.when(F.col("label") == "title", F.col("text"))).alias("title"), F.array_join(F.transform(lines_below, lambda x: x["text"]), "\n").alias("body_text"))
+
+
 ART = f"""{PT}, art AS (SELECT t.doc_id, t.page_no, t.seq AS article_order, t.text AS title, coalesce(b.text, '') AS body FROM sheet t LEFT JOIN sheet b
   ON b.doc_id = t.doc_id AND b.page_no = t.page_no AND b.seq = t.seq + 1 AND b.label <> 'header' WHERE t.label = 'title' AND t.page_no % 2 = 1)"""
 MD = f"""{ART}, ap AS (SELECT doc_id, page_no, string_agg('## ' || title || CASE WHEN body <> '' THEN chr(10) || chr(10) || body ELSE '' END, chr(10) || chr(10) ORDER BY article_order) AS pieces FROM art GROUP BY 1, 2),
 md AS (SELECT doc_id, page_no, '# Page ' || page_no || chr(10) || chr(10) || coalesce(pieces, page_text) AS page_markdown FROM pt LEFT JOIN ap USING (doc_id, page_no))"""
 
 
+ART_ALL = f"""{PT}, numbered AS (SELECT doc_id, page_no, seq, label, text, count(*) FILTER (WHERE label = 'title') OVER (PARTITION BY doc_id, page_no ORDER BY seq) AS article_order FROM sheet),
+art AS (SELECT doc_id, page_no, article_order, coalesce({q.strip("max(CASE WHEN label = 'title' THEN text END)")}, '') AS title,
+  coalesce({q.strip(f"string_agg(CASE WHEN label <> 'title' AND {q.strip('text')} <> '' THEN text END, chr(10) ORDER BY seq)")}, '') AS body
+  FROM numbered WHERE article_order > 0 AND label <> 'header' GROUP BY 1, 2, 3)"""
+MD_ALL = f"""{ART_ALL}, ap AS (SELECT doc_id, page_no, string_agg(concat_ws(chr(10) || chr(10), CASE WHEN title <> '' THEN '## ' || title END, nullif(body, '')), chr(10) || chr(10) ORDER BY article_order)
+  FILTER (WHERE title <> '' OR body <> '') AS pieces FROM art GROUP BY 1, 2),
+md AS (SELECT doc_id, page_no, '# Page ' || page_no || chr(10) || chr(10) || coalesce(pieces, page_text) AS page_markdown FROM pt LEFT JOIN ap USING (doc_id, page_no))"""
+
+
 @query("page_text", f"WITH {PT} SELECT * FROM pt")
 def q_page_text(spark, sf_dir):
     return cv.page_text(sheet_blocks(spark, sf_dir))
@@ -45,6 +65,11 @@ def q_page_markdown(spark, sf_dir):
     return cv.page_markdown(cv.page_text(sheet_blocks(spark, sf_dir)), sheet_articles(spark, sf_dir))
 
 
+@query("page_markdown_all", f"WITH {MD_ALL} SELECT * FROM md")
+def q_page_markdown_all(spark, sf_dir):
+    return cv.page_markdown(cv.page_text(sheet_blocks(spark, sf_dir)), whole_articles(sheet_blocks(spark, sf_dir)))
+
+
 HTML = f"""{SHEET_SQL}, hb AS (SELECT *, ' class=''block block-' || label || ''' data-block-id=''' || block_id || '''' AS attr, {_sql_escape('text')} AS e FROM sheet),
 hp AS (SELECT doc_id, page_no, '<section data-page=''' || page_no || '''><h2>Page ' || page_no || '</h2>' || string_agg(CASE label WHEN 'title' THEN '<h3' || attr || '>' || e || '</h3>'
   WHEN 'image' THEN '<figure' || attr || '></figure>' ELSE '<p' || attr || '>' || e || '</p>' END, '' ORDER BY seq) || '</section>' AS page_html FROM hb GROUP BY 1, 2)"""
@@ -62,6 +87,13 @@ def q_join_pages_markdown(spark, sf_dir):
     return cv.join_pages(pages, "page_markdown", paginate=True)
 
 
+@query("join_pages_markdown_all", f"""WITH {MD_ALL} SELECT doc_id, string_agg(CASE WHEN page_no > 1 THEN page_no || repeat('-', 48) || chr(10) || chr(10) ELSE '' END || page_markdown, chr(10) || chr(10) ORDER BY page_no)
+  AS document_markdown FROM md GROUP BY doc_id""")
+def q_join_pages_markdown_all(spark, sf_dir):
+    pages = cv.page_markdown(cv.page_text(sheet_blocks(spark, sf_dir)), whole_articles(sheet_blocks(spark, sf_dir)))
+    return cv.join_pages(pages, "page_markdown", paginate=True)
+
+
 @query("join_pages_html", f"""WITH {HTML} SELECT doc_id, '<html><body>' || string_agg(CASE WHEN page_no > 1 THEN '<hr data-page-break=''' || page_no || '''/>' ELSE '' END || page_html, '' ORDER BY page_no)
   || '</body></html>' AS document_html FROM hp GROUP BY doc_id""")
 def q_join_pages_html(spark, sf_dir):
@@ -84,6 +116,13 @@ def q_convert(spark, sf_dir):
     return out.select("doc_id", "markdown", F.json_array_length("chunks").alias("n_chunks"))
 
 
+@query("convert_all", f"""WITH {MD_ALL}, c AS (SELECT doc_id, count(*) AS n_chunks FROM sheet GROUP BY 1)
+SELECT doc_id, string_agg(page_markdown, chr(10) || chr(10) ORDER BY page_no) AS markdown, max(n_chunks) AS n_chunks FROM md JOIN c USING (doc_id) GROUP BY doc_id""")
+def q_convert_all(spark, sf_dir):
+    out = cv.convert(sheet_blocks(spark, sf_dir), whole_articles(sheet_blocks(spark, sf_dir)), "markdown, chunks")
+    return out.select("doc_id", "markdown", F.json_array_length("chunks").alias("n_chunks"))
+
+
 @query("ocr_lines", f"WITH {SHEET_SQL} SELECT doc_id, page_no, seq, text, x0, y0, x1, y1, label, confidence FROM sheet WHERE label <> 'image'")
 def q_ocr_lines(spark, sf_dir):
     return cv.ocr_lines(sheet_blocks(spark, sf_dir))
@@ -135,6 +174,12 @@ def q_segment_document(spark, sf_dir):
     return cv.segment_document(sheet_blocks(spark, sf_dir), sheet_articles(spark, sf_dir))
 
 
+@query("segment_document_all", f"""WITH {ART_ALL}, p AS (SELECT doc_id, count(*) AS page_count, string_agg(page_text, chr(10) || chr(10) ORDER BY page_no) AS full_text FROM pt GROUP BY 1), a AS (SELECT doc_id, count(*) AS n FROM art GROUP BY 1)
+SELECT doc_id, page_count, full_text, coalesce(n, 0) AS total_articles FROM p LEFT JOIN a USING (doc_id)""")
+def q_segment_document_all(spark, sf_dir):
+    return cv.segment_document(sheet_blocks(spark, sf_dir), whole_articles(sheet_blocks(spark, sf_dir)))
+
+
 def collections(spark, sf_dir) -> DataFrame:
     """A collection per order: its parts and one file that does not exist."""
     li = table(spark, sf_dir, "lineitem")
