@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ("warc", "packing", "chat", "token_count", "pairwise_quality", "voronoi", "toxicity", "near_dup", "chunked_bpe",
-           "quality_rules", "ptolemaic", "chunk_recipes")
+           "quality_rules", "ptolemaic", "dual_tree", "chunk_recipes")
 
 
 def load_catalog():
