@@ -34,7 +34,7 @@ from broadsheet.llm.wordhash import slices, word_hashes
 
 ITEMS, TERMS = 2048, 32_768
 BLOCK, ENTRIES = 4096, 2_000_000
-FAN = 8
+FAN = 4
 SEED = 16
 
 
