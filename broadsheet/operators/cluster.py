@@ -1,23 +1,21 @@
 """Blocks of newspaper pages to articles, anchored on titles.
 
-One shuffle brings the blocks of a page together; everything after it works on the page's row:
-columns and title placement as array folds, the order-dependent stages on integer arrays
-(``page_stages``), texts, header data and reading order as array expressions again.
+One shuffle brings the blocks of a page together; everything after it works on the page's row: columns and title placement
+here, titles, claims, pictures and merges in ``page_articles``, texts, header data and reading order here again, all as
+array expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions import newspaper as news
 from broadsheet.functions import text as tx
-from broadsheet.functions.geometry import (
-    Box, bbox_area, bbox_height, bbox_union, center_x, h_overlap_ratio,
-)
-from broadsheet.operators import page_stages as stages
+from broadsheet.functions.geometry import Box, bbox_area, center_x, h_overlap_ratio
+from broadsheet.operators import page_articles as made
+from broadsheet.operators.page_articles import PAGE
 
-PAGE = ["doc_id", "page_no"]
 TEXT_LABELS = ("title", "text", "caption")
 NEG_INF = float("-inf")
 
@@ -37,7 +35,7 @@ def text_facts(label: Column, text: Column, plain: Column, norm: Column) -> dict
         "text_len": F.length(tx.strip(text)), "norm_len": F.length(norm), "filled": tx.strip(text) != "",
         "aux": news.is_aux_title(norm), "credit": news.is_credit(norm),
         "non_article": news.is_non_article_title(norm), "short_title": news.is_short_title(norm),
-        "bullet": norm.rlike("^[◆■]"),
+        "bullet": norm.rlike("^[◆■]"), "placeholder": shown.startswith("page_") | shown.startswith("article_"),
     }
 
 
@@ -165,7 +163,7 @@ def place_titles(titles: Column, columns: Column) -> Column:
 # -- one row per page ------------------------------------------------------------------------
 
 FACTS = ("norm", "body", "title_text", "text_len", "norm_len", "body_len", "title_len", "text_key",
-         "filled", "aux", "credit", "non_article", "short_title", "bullet")
+         "filled", "aux", "credit", "non_article", "short_title", "bullet", "placeholder")
 
 
 def page_rows(blocks: DataFrame) -> DataFrame:
@@ -221,27 +219,21 @@ def _with_columns(pages: DataFrame) -> DataFrame:
     return pages.withColumn("columns", column).drop("starts", "placed", "titles_only")
 
 
-def _kind(b: Column) -> Column:
-    codes = (("title", stages.TITLE), ("text", stages.TEXT), ("caption", stages.CAPTION), ("image", stages.IMAGE))
-    return F.coalesce(*[F.when(b["label"] == name, code) for name, code in codes], F.lit(0))
-
-
-def _flags(b: Column) -> Column:
-    bits = (("textish", stages.TEXTISH), ("usable_image", stages.USABLE_IMAGE), ("filled", stages.FILLED),
-            ("aux", stages.AUX), ("credit", stages.CREDIT), ("non_article", stages.NON_ARTICLE),
-            ("short_title", stages.SHORT_TITLE), ("bullet", stages.BULLET))
-    return sum((F.when(b[name], bit).otherwise(0) for name, bit in bits[1:]),
-               F.when(b[bits[0][0]], bits[0][1]).otherwise(0))
+def _items(**more) -> Column:
+    """The numbers and flags of the page's blocks that ``page_articles`` works on; ``more`` makes fields that blocks don't have."""
+    return F.transform("blocks", lambda b, i: F.struct(i.alias("i"), *[
+        (more[n](b, i) if n in more else b[n]).alias(n) for n in made.ITEM]))
 
 
 def title_groups(pages: DataFrame) -> DataFrame:
     """Adds ``leads``: per block the index of the title leading its title group, else -1."""
-    # Nondeterministic so that the call is not moved into the array expressions using its result.
-    udf = F.pandas_udf(stages.title_group_arrays, "array<int>").asNondeterministic()
-    b = "blocks"
-    leads = udf(*[F.col(f"{b}.{side}") for side in Box._fields], F.col("columns"), F.transform(b, _kind),
-                F.transform(b, _flags), F.col(f"{b}.norm_len"), F.col(f"{b}.text_len"))
-    return pages.withColumn("leads", leads)
+    column = lambda b, i: F.get("columns", i)
+    never = lambda b, i: F.lit(False)
+    pages = pages.withColumn("items", _items(column=column, home=column, lead=never, merged=never))
+    pages = pages.withColumn("kept", made.drop_embedded_titles(made.title_candidates(F.col("items"))))
+    pages = pages.withColumn("pairs", made.merge_adjacent_titles(F.col("kept"), F.col("items")))
+    leads = F.transform("blocks", lambda b, i: F.coalesce(F.get(F.filter("pairs", lambda p: p["i"] == i), F.lit(0))["lead"], F.lit(-1)))
+    return pages.withColumn("leads", leads).drop("items", "kept", "pairs")
 
 
 def merge_title_blocks(pages: DataFrame) -> DataFrame:
@@ -264,19 +256,18 @@ def merge_title_blocks(pages: DataFrame) -> DataFrame:
             facts |= {"x0": over("x0", F.array_min), "y0": over("y0", F.array_min), "x1": over("x1", F.array_max),
                       "y1": over("y1", F.array_max), "text": text, "confidence": over("confidence", F.array_max)}
             return F.struct(*[facts.get(name, b[name]).alias(name) for name in BLOCK_FIELDS],
-                            over("column", F.array_min).alias("column"), home.alias("home"),
-                            F.lit(stages.LEAD_TITLE).alias("lead_bit"))
+                            over("column", F.array_min).alias("column"), home.alias("home"), F.lit(True).alias("lead"),
+                            F.lit(False).alias("merged"))
 
         text = tx.strip(F.array_join(F.transform(group, lambda m: m["text"]), " "))
         return tx.let(text, lambda t: tx.let(tx.strip_markup(t), lambda p: tx.let(tx.squeeze(p), lambda n: build(t, p, n))))
 
     def settled(item: Column, i: Column) -> Column:
         b, lead = item["blocks"], item["leads"]
-        own = F.when(lead == i, stages.LEAD_TITLE).when(lead >= 0, stages.MERGED).otherwise(0)
         alone = F.struct(*[
             (b[name] & ((lead == -1) | (lead == i)) if name == "textish" else b[name]).alias(name)
             for name in BLOCK_FIELDS], item["columns"].alias("column"), item["columns"].alias("home"),
-            own.alias("lead_bit"))
+            (lead == i).alias("lead"), ((lead >= 0) & (lead != i)).alias("merged"))
         several = (lead == i) & (F.size(F.filter("leads", lambda other: other == i)) > 1)
         return F.when(several, tx.let(members(i), lambda g: whole(b, item["columns"], g))).otherwise(alone)
 
@@ -295,22 +286,17 @@ def cluster_pages(blocks: DataFrame) -> DataFrame:
     page and is -1 where it belongs to none.
     """
     pages = merge_title_blocks(title_groups(page_rows(blocks)))
-    udf = F.pandas_udf(stages.build_articles, stages.OUTPUTS).asNondeterministic()
-    b = "blocks"
-    flags = F.transform(b, lambda x: _flags(x) + x["lead_bit"])
-    built = udf(
-        F.col("width"), F.col("height"), *[F.col(f"{b}.{side}") for side in Box._fields], F.col(f"{b}.home"),
-        F.col(f"{b}.column"), F.transform(b, _kind), flags, F.col(f"{b}.body_len"), F.col(f"{b}.title_len"),
-        F.col(f"{b}.text_key"), F.col(f"{b}.block_id"))
-    pages = pages.withColumn("built", built)
-    outcome = ("article", "rank", "role", "of_image")
-    zipped = F.arrays_zip(F.col("blocks"), *[F.col(f"built.{n}").alias(n) for n in outcome])
-    flat = F.transform(zipped, lambda z: F.struct(
-        *[z[n].alias(n) for n in outcome], *[z["blocks"][n].alias(n) for n in BLOCK_FIELDS],
-        z["blocks"]["column"].alias("column_index"), z["blocks"]["lead_bit"].alias("lead_bit")))
-    pages = pages.select(*PAGE, "width", "height", flat.alias("blocks"),
-                         F.arrays_zip(F.col("built.article_column").alias("column_index"),
-                                      F.col("built.article_layout").alias("layout_type")).alias("found"))
+    pages = made.build_articles(pages.withColumn("items", _items()))
+    by_index = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["i"].alias("i"), e.alias("e"))))
+    pages = pages.select(*PAGE, "width", "height", "blocks", "found", by_index.alias("entries"))
+    none = {"article": F.lit(-1), "rank": F.lit(-1), "role": F.lit("none"), "of_image": F.lit(-1)}
+
+    def placed(b: Column, i: Column) -> Column:
+        return tx.let(F.try_element_at("entries", i), lambda e: F.struct(
+            *[F.coalesce(e[n], default).alias(n) for n, default in none.items()], *[b[n].alias(n) for n in BLOCK_FIELDS],
+            b["column"].alias("column_index"), b["merged"].alias("merged")))
+
+    pages = pages.select(*PAGE, "width", "height", F.transform("blocks", placed).alias("blocks"), "found")
     drafts = F.transform("found", lambda a, number: tx.let(
         F.filter("blocks", lambda b: b["article"] == number), lambda mine: _draft(a, number, mine)))
     pages = pages.withColumn("drafts", drafts)
@@ -318,7 +304,9 @@ def cluster_pages(blocks: DataFrame) -> DataFrame:
         title, d["body_text"], d["image_count"], d["image_area"], d["caption_count"])))
     order = ("y0", "column_index", "x0", "article_key")
     ordered = F.array_sort(F.transform(kept, lambda d: F.struct(*[d[n].alias(n) for n in order], d.alias("d"))))
-    return pages.select(*PAGE, "width", "height", "blocks", F.transform(ordered, lambda o: o["d"]).alias("articles"))
+    # Behind a generator, so that filters on the outcome (an explode brings some) are not pushed down as copies of the whole computation.
+    outcome = F.struct("blocks", F.transform(ordered, lambda o: o["d"]).alias("articles"))
+    return pages.select(*PAGE, "width", "height", F.explode(F.array(outcome)).alias("page")).select(*PAGE, "width", "height", "page.blocks", "page.articles")
 
 
 def _draft(found: Column, number: Column, mine: Column) -> Column:
@@ -395,7 +383,7 @@ def captions(pages: DataFrame) -> DataFrame:
 def unassigned(pages: DataFrame) -> DataFrame:
     """Text blocks that ended up in no article (only on pages without any)."""
     b = F.col("b")
-    free = (b["article"] < 0) & b["textish"] & ~b["aux"] & (b["lead_bit"] != stages.MERGED)
+    free = (b["article"] < 0) & b["textish"] & ~b["aux"] & ~b["merged"]
     return pages.select(*PAGE, F.explode("blocks").alias("b")).where(free).select(
         *PAGE, "b.block_id", "b.label", *[b[side].alias(side) for side in Box._fields], "b.text")
 
@@ -468,72 +456,10 @@ def _best_issue(texts: Column) -> Column:
     return F.array_max(rated)
 
 
-# -- scores as columns -----------------------------------------------------------------------
-
-def score_image_article(image: Box, article: Box, title: Box, has_body: Column) -> Column:
-    """How well a picture fits an article; null where it is too far off."""
-    overlap = h_overlap_ratio(article, image)
-    span = F.greatest(article.x1 - article.x0, image.x1 - image.x0, F.lit(1))
-    aligned = 1.0 - F.abs(center_x(article) - center_x(image)) / span
-    above, below = image.y1 <= article.y0, image.y0 >= article.y1
-    gap = F.when(above, article.y0 - image.y1).when(below, image.y0 - article.y1).otherwise(0)
-    place = F.when(above, 0.9).when(below, -0.6).otherwise(0.35)
-    image_height = F.greatest(image.y1 - image.y0, F.lit(1))
-    limit = F.greatest(F.lit(220), F.floor(F.greatest(image_height, article.y1 - article.y0, F.lit(1)) * 0.75))
-    under = image.y0 - title.y1
-    titled = (h_overlap_ratio(title, image) >= 0.35) & (under >= -40) & (
-        under <= F.greatest(F.lit(260), F.floor(image_height * 0.45)))
-    score = (overlap * 4.5 + place + F.when(F.coalesce(titled, F.lit(False)), 1.15).otherwise(0.0)
-             + F.greatest(aligned, F.lit(-1.0)) + F.when(has_body, 0.5).otherwise(0.0) - gap / limit)
-    return F.when(~((gap > limit) & (overlap < 0.2)), score)
-
-
-def score_caption_image(caption: Box, image: Box) -> Column:
-    """How well a caption fits a picture; null where it is too far off."""
-    w, h = F.greatest(image.x1 - image.x0, F.lit(1)), F.greatest(image.y1 - image.y0, F.lit(1))
-    pad = F.greatest(F.lit(24), F.floor(w * 0.18))
-    below, above = caption.y0 >= image.y1, caption.y1 <= image.y0
-    gap = F.when(below, caption.y0 - image.y1).when(above, image.y0 - caption.y1).otherwise(0)
-    place = F.when(below, 0.45).when(above, -0.2).otherwise(0.2)
-    limit = F.greatest(F.lit(160), F.floor(h * 0.45))
-    aligned = 1.0 - F.abs(center_x(caption) - center_x(image)) / w
-    score = h_overlap_ratio(caption, image) * 3.0 + place + F.greatest(aligned, F.lit(-1.0)) - gap / limit
-    near = (caption.x1 >= image.x0 - pad) & (caption.x0 <= image.x1 + pad) & (gap <= limit)
-    return F.when(near, score)
-
-
-def title_span(title: Box, own_column: Column, hulls: Column) -> Column:
-    """Columns a title spans: those it overlaps or is centred in, else its own."""
-    matched = F.filter(F.transform(hulls, lambda h, i: F.when(
-        (h_overlap_ratio(title, Box.of(h)) >= 0.18) | ((h["x0"] <= center_x(title)) & (center_x(title) <= h["x1"])), i)),
-        F.isnotnull)
-    return F.when(F.size(matched) > 0, matched).otherwise(F.array(own_column))
-
-
-def block_in_span(block: Box, column: Column, title: Box, span: Column, hulls: Column) -> Column:
-    """A block is in reach of a title: by column, or by overlap with the title or a spanned column."""
-    touching = F.exists(span, lambda c: h_overlap_ratio(Box.of(F.get(hulls, c)), block) >= 0.22)
-    return F.array_contains(span, column) | (h_overlap_ratio(title, block) >= 0.22) | touching
-
-
-def next_title_top(title: Box, span: Column, titles: Column) -> Column:
-    """Top of the nearest later title sharing a column or overlapping; ``titles`` has box and span."""
-    rivals = F.filter(titles, lambda t: (
-        (t["y0"] > title.y0) | ((t["y0"] == title.y0) & (t["x0"] > title.x0)))
-        & (F.arrays_overlap(t["span"], span) | (h_overlap_ratio(title, Box.of(t)) >= 0.18)))
-    return F.array_min(F.transform(rivals, lambda t: t["y0"]))
-
-
 def column_segments(blocks: DataFrame) -> DataFrame:
-    """Segment number of each block of a column, cut where the gap is wide for the column.
-
-    The baseline is the upper median of the block heights.
-    """
-    column = Window.partitionBy(*PAGE, "column_index")
-    down = column.orderBy("y0", "x0", "seq")
-    heights = F.sort_array(F.collect_list(bbox_height(Box.named())).over(column))
-    base = F.get(heights, F.floor(F.size(heights) / 2).cast("int"))
-    limit = F.greatest(F.floor(base * 2.8), F.lit(70))
-    gap = F.col("y0") - F.lag("y1").over(down)
-    flagged = blocks.withColumn("cut", F.when(gap > limit, 1).otherwise(0))
-    return flagged.withColumn("segment", F.sum("cut").over(down)).drop("cut")
+    """Segment number of each block of a column, cut where the gap is wide for the column."""
+    down = F.struct("y0", "x0", "seq", F.struct(*blocks.columns).alias("b"))
+    columns = blocks.groupBy(*PAGE, "column_index").agg(F.sort_array(F.collect_list(down)).alias("down"))
+    runs = made.column_runs(F.transform("down", lambda d: d["b"]))
+    rows = columns.select(F.posexplode(runs).alias("segment", "run")).select(F.explode("run").alias("b"), "segment")
+    return rows.select("b.*", F.col("segment").cast("long").alias("segment"))

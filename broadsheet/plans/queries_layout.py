@@ -10,7 +10,7 @@ from broadsheet.functions.geometry import Box
 from broadsheet.functions.labels import QUALITY_TEXT_LABELS
 from broadsheet.operators import blocks as bl
 from broadsheet.operators import cluster as cl
-from broadsheet.operators import models, quality, relevance, segment
+from broadsheet.operators import models, page_articles, quality, relevance, segment
 from broadsheet.plans import inputs
 from broadsheet.plans import sqltext as q
 from broadsheet.plans.catalog import query
@@ -438,7 +438,7 @@ def q_score_caption_image(spark, sf_dir):
     pics = b.where(F.col("label") == "image").select(*PAGE, F.col("col").alias("i_col"), (F.col("row") + 1).alias("row"), *Box.named().columns("i"))
     text = b.where(~F.col("label").isin("header", "image"))
     pairs = text.join(pics, [*PAGE, "row"]).where(F.col("i_col") <= F.col("col"))
-    return pairs.select(*PAGE, "block_id", F.col("ix0").alias("image_x0"), F.round(cl.score_caption_image(Box.named(), Box.named("i")), 6).alias("score"))
+    return pairs.select(*PAGE, "block_id", F.col("ix0").alias("image_x0"), F.round(page_articles.score_caption_image(Box.named(), Box.named("i")), 6).alias("score"))
 
 
 @query("score_image_article", f"""WITH {PAIR_SQL}, a AS (SELECT doc_id, page_no, col, row // 6 AS part, min(x0) AS ax0, min(y0) AS ay0, max(x1) AS ax1, max(y1) AS ay1, count(*) > 1 AS has_body
@@ -459,7 +459,7 @@ def q_score_image_article(spark, sf_dir):
         *[f(F.col(s)).alias("a" + s) for f, s in zip((F.min, F.min, F.max, F.max), Box._fields)], (F.count(F.lit(1)) > 1).alias("has_body"),
         *[F.max(F.when(F.col("label") == "title", F.col(s))).alias("t" + s) for s in Box._fields])
     pairs = pics.join(parts.where(F.col("tx0").isNotNull()), [*PAGE, "part"])
-    score = cl.score_image_article(Box.named("i"), Box.named("a"), Box.named("t"), F.col("has_body"))
+    score = page_articles.score_image_article(Box.named("i"), Box.named("a"), Box.named("t"), F.col("has_body"))
     return pairs.select(*PAGE, "block_id", "col", "part", F.round(score, 6).alias("score"))
 
 
@@ -480,12 +480,13 @@ def q_title_spans(spark, sf_dir):
     own = hulls.select(*PAGE, "column_index")
     titles = b.where(F.col("label") == "title").join(own, [*PAGE, "column_index"], "left_semi").withColumn("x1", F.col("x1") + 500).join(pages, PAGE)
     wide = F.transform("h", lambda h: F.struct(h["x0"].alias("x0"), F.lit(0).alias("y0"), h["x1"].alias("x1"), F.lit(1).alias("y1"), h["column_index"].alias("c")))
-    at = cl.title_span(Box.named(), F.lit(-1), wide)
+    at = page_articles.title_span(Box.named(), F.lit(-1), wide)
     titles = titles.withColumn("span", F.transform(at, lambda i: F.get("h", i)["column_index"]))
     listed = titles.groupBy(*PAGE).agg(F.collect_list(F.struct(*Box._fields, "span", "block_id")).alias("ts"))
     rows = listed.select(*PAGE, "ts", F.explode("ts").alias("t"))
+    later = F.filter("ts", lambda t: (t["y0"] > F.col("t.y0")) | ((t["y0"] == F.col("t.y0")) & (t["x0"] > F.col("t.x0"))))
     return rows.select(*PAGE, "t.block_id", F.array_join("t.span", ",").alias("span"),
-                       cl.next_title_top(Box.of(F.col("t")), F.col("t.span"), F.col("ts")).alias("next_top"))
+                       page_articles.next_title_top(Box.of(F.col("t")), F.col("t.span"), later).alias("next_top"))
 
 
 @query("attach_source_metadata", f"""WITH {SHEET_SQL}, t AS (SELECT doc_id, page_no, block_id, x0 AS tx0, y0 AS ty0, x1 AS tx1, y1 AS ty1 FROM sheet WHERE label = 'title'),
