@@ -9,15 +9,21 @@ The state of the round-robin has a closed form, so no partition waits for anothe
 in round ceil((j + 1) * PACKET / q), the last packet when the queue's total is reached. Token offsets in queues and in the
 output are prefix sums over blocks of bounded size, never over a whole queue.
 
+A queue that runs dry is missing from later rounds; the others go on in their proportions, and windows stay full.
+
 Null texts count as empty: such a document is one end token. Null sources are a queue of their own. Repeated rows are
-documents of their own; other columns are ignored; an empty table gives no rows. A source without a given target share
-keeps its share of the tokens; shares are scaled to add up to one.
+documents of their own; other columns are ignored; an empty table gives no rows. Very long texts are tokenised whole, by one task. A
+source without a given target share keeps its share of the tokens; shares are scaled to add up to one. Sources with a
+target of 0 are packed after all others, mixed by their own shares; a target for an absent source is void; a negative
+or non-finite one raises.
 """
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Iterator, Mapping
+from itertools import accumulate, chain
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -27,34 +33,43 @@ from broadsheet.llm.common import let, per_process, stored, table
 
 SIZE = 4096
 PACKET = 16
-#: Slices of a queue whose documents are numbered together, and rounds (and blocks of rounds) whose pieces are.
-SLICES = 1024
+#: A queue has at least so many slices, whose documents are numbered together; beyond, the root of the number of rows.
+SLICES = 256
+#: Rounds (and blocks of rounds) whose pieces are numbered together.
 ROUNDS = 64
 BLOCKS = 4096
 CACHE = 500_000
 LONGEST_CACHED = 100
-#: Fixed value: the pattern by which the tokenizer file cuts lower-case text.
+#: Characters of texts that are tokenised together.
+TOGETHER = 1_000_000
+#: The mark at the end of a word's last token, and the pattern by which the tokenizer file cuts lower-case text.
+WORD_END = "</w>"
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class WordTokens:
     """Token ids of texts by words between ASCII blanks, which the tokenizer never joins.
 
-    Words and, below them, their lower-case pre-tokens come from two caches that take no more than CACHE entries each.
+    Words (in bytes) and, below them, their lower-case pre-tokens come from two caches that take no more than CACHE entries each. What
+    is not there is cut and encoded for many texts at once: pre-tokens as one text with blanks between, whose ids part behind
+    each token that ends a word.
     """
 
     def __init__(self, path: str):
         import re
 
+        import numpy as np
         import regex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok, self.words_known, self.parts_known = Tokenizer.from_file(path), {}, {}
-        self.kind = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
-        self.parts = regex.compile(PRE_TOKENS).findall
+        vocabulary = self.tok.get_vocab()
+        self.kind = "<u2" if max(vocabulary.values(), default=0) < 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        self.parts = regex.compile(PRE_TOKENS + "|\n").findall
         # Below U+0300 every text is in composed form and lower-cases letter by letter.
         self.other = re.compile("[^\x00-\u02ff]").search
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -66,25 +81,53 @@ class WordTokens:
         code = "H" if self.kind == "<u2" else "I"
         return [array(code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def through(self, cache: dict, keys: list[str], make) -> list[bytes]:
+    def through(self, cache: dict, keys: list, make) -> list[bytes]:
         """The values of ``keys``; those not in the cache are made, each once, and kept while there is room."""
-        new = [k for k in dict.fromkeys(keys) if k not in cache]
-        if not new:
-            return list(map(cache.__getitem__, keys))
+        found = list(map(cache.get, keys))
+        if None not in found:
+            return found
+        new = list(dict.fromkeys(k for k, v in zip(keys, found) if v is None))
         fresh = dict(zip(new, make(new)))
         if len(cache) < CACHE:
             cache.update((k, v) for k, v in fresh.items() if len(k) <= LONGEST_CACHED)
-        return [fresh[k] if k in fresh else cache[k] for k in keys]
+        return [fresh[k] if v is None else v for k, v in zip(keys, found)]
 
-    def new_words(self, words: list[str]) -> list[bytes]:
-        cut = [[w] if self.other(w) else self.parts(w.lower()) for w in words]
-        found = iter(self.through(self.parts_known, [p for parts in cut for p in parts], self.raw))
-        return [b"".join([next(found) for _ in parts]) for parts in cut]
+    def new_parts(self, parts: list[str]) -> list[bytes]:
+        import numpy as np
+
+        ids = np.array(self.tok.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        if len(cuts) != len(parts):  # not a tokenizer of this kind
+            return self.raw(parts)
+        whole = ids.tobytes()
+        return [whole[a:z] for a, z in zip([0, *cuts], cuts)]
+
+    def new_words(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        plain = [t for t in texts if not self.other(t)]
+        parts = self.parts("\n".join(plain).lower())
+        found = iter(self.through(self.parts_known, [p for p in parts if p != "\n"], self.new_parts))
+        known, run = [], []
+        for p in parts:
+            if p == "\n":
+                known.append(b"".join(run))
+                run = []
+            else:
+                run.append(next(found))
+        known.append(b"".join(run))
+        known, rest = iter(known), iter(self.raw([t for t in texts if self.other(t)]))
+        return [next(rest) if self.other(t) else next(known) for t in texts]
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        words = [[] if self.added(t) else t.encode().split() for t in texts]
+        found = self.through(self.words_known, list(chain.from_iterable(words)), self.new_words)
+        ends = list(accumulate(map(len, words)))
+        # Added tokens may hold or touch blanks: the library cuts such a text.
+        return [self.raw([t])[0] if self.added(t) else b"".join(found[a:z]) for t, a, z in zip(texts, [0, *ends], ends)]
 
     def ids(self, text: str) -> bytes:
-        if self.added(text):  # added tokens may hold or touch blanks: the library cuts such a text
-            return self.raw([text])[0]
-        return b"".join(self.through(self.words_known, self.words(text), self.new_words))
+        return self.many([text])[0]
 
 
 def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
@@ -101,7 +144,14 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         words = per_process(("words", path), lambda: WordTokens(path))
         end = np.array([end_id], words.kind).tobytes()
         for b in batches:
-            ids = [words.ids(t.as_py()) + end for t in b.column(2)]
+            ids, run, size = [], [], 0
+            for t in b.column(2).to_pylist():
+                run.append(t)
+                size += len(t)
+                if size >= TOGETHER:
+                    ids += words.many(run)
+                    run, size = [], 0
+            ids = [i + end for i in ids + words.many(run)]
             counts = pa.array([len(i) // len(end) for i in ids], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), counts, pa.array(ids, pa.binary())], ["doc_id", "queue", "n", "ids"])
 
@@ -110,8 +160,12 @@ def tokenise(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def queue_offsets(tokens: DataFrame, size: int, targets: Mapping[str, float] | None) -> DataFrame:
-    """row_id, queue, n, at (tokens before it in its queue), total and quantum (tokens per round) of its queue."""
-    rows = tokens.select("row_id", "queue", "n", F.pmod(F.xxhash64("row_id"), F.lit(SLICES)).alias("slice"))
+    """row_id, queue, n, at (tokens before it in its queue), total, quantum (tokens per round) and wait (rounds before its first) of its queue."""
+    for name, share in (targets or {}).items():
+        if not 0 <= share < math.inf:
+            raise ValueError(f"target of {name!r} must be a number of at least 0, not {share}")
+    slices = max(SLICES, math.isqrt(tokens.count()))
+    rows = tokens.select("row_id", "queue", "n", F.pmod(F.xxhash64("row_id"), F.lit(slices)).alias("slice"))
     sums = rows.groupBy("queue", "slice").agg(F.sum("n").alias("n"))
     of_queue = Window.partitionBy("queue")
     before = F.sum("n").over(of_queue.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -121,19 +175,23 @@ def queue_offsets(tokens: DataFrame, size: int, targets: Mapping[str, float] | N
     weight = F.col("total") / F.sum("total").over(all_queues)
     for name, share in (targets or {}).items():
         weight = F.when(F.col("queue") == f"={name}", F.lit(float(share))).otherwise(weight)
-    weighed = queues.withColumn("weight", weight)
-    quanta = weighed.select("queue", (F.col("weight") / F.sum("weight").over(all_queues) * size).alias("quantum"))
+    weighed = queues.withColumn("weight", weight).withColumn("last", F.col("weight") == 0)
+    together = Window.partitionBy("last")
+    weighed = weighed.withColumn("weight", F.when(F.col("last"), F.col("total").cast("double")).otherwise(F.col("weight")))
+    quanta = weighed.withColumn("quantum", F.col("weight") / F.sum("weight").over(together) * size)
+    rounds = F.max(F.when(~F.col("last"), F.ceil(F.col("total") / F.col("quantum")))).over(all_queues)
+    quanta = quanta.select("queue", "quantum", F.when(F.col("last"), F.coalesce(rounds, F.lit(0))).otherwise(0).cast("long").alias("wait"))
     starts = starts.join(quanta, "queue")
     in_slice = Window.partitionBy("queue", "slice").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
     numbered = rows.withColumn("in_slice", F.coalesce(F.sum("n").over(in_slice), F.lit(0)))
     return numbered.join(starts, ["queue", "slice"]).select(
-        "row_id", "queue", "n", (F.col("slice_at") + F.col("in_slice")).alias("at"), "total", "quantum")
+        "row_id", "queue", "n", (F.col("slice_at") + F.col("in_slice")).alias("at"), "total", "quantum", "wait")
 
 
 def sent_in_rounds(rows: DataFrame, packet: int) -> DataFrame:
     """What each document sends in each round: row_id, queue, round, at (in the queue), start (in the document), length."""
     first, last = F.expr(f"at div {packet}"), F.expr(f"(at + n - 1) div {packet}")
-    due = lambda j: F.ceil(F.least((j + 1) * packet, F.col("total")) / F.col("quantum")).cast("long")
+    due = lambda j: F.col("wait") + F.ceil(F.least((j + 1) * packet, F.col("total")) / F.col("quantum")).cast("long")
 
     def runs(r):
         cuts = F.filter(F.transform(r, lambda x, i: F.when(~F.get(r, i - 1).eqNullSafe(x), i)), lambda i: i.isNotNull())
