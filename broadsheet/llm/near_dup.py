@@ -14,7 +14,8 @@
 5. Links are joined into components by large-star and small-star rounds on tables in the shared folder.
 
 Null and empty texts have an empty set: no links, a component of their own. Texts shorter than a shingle are one shingle
-of all their words. Rows that repeat an id are one document and get the same answer; rows with a null id
+of all their words. Rows that repeat an id are one document: it is linked with whatever any of its texts is linked with, so all
+of them get the same component (each its own n_shingles). Very long texts are hashed whole, by one task. Rows with a null id
 are not linked, have a null component and are kept. Other columns are ignored; an empty table gives no rows.
 """
 
@@ -196,6 +197,14 @@ def links_in_task(ids: list, sets: list[np.ndarray], side: list[int], k: int = S
     return found
 
 
+def links_of_ids(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): an id that stands at several classes, with the representative of each."""
+    differs = F.min("key_a") != F.max("key_a")
+    several = sketched.groupBy("doc_id").agg((differs | (F.min("key_b") != F.max("key_b"))).alias("several")).filter("several").select("doc_id")
+    rows = sketched.select("doc_id", "key_a", "key_b").join(several, "doc_id", "left_semi").distinct()
+    return rows.join(classes, ["key_a", "key_b"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).filter("a <> b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, k: int = SKETCH, shared: int = SHARED, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of ``docs`` (doc_id, text)."""
     sketched = stored(sketches(docs, width, k), "sketches")
@@ -230,7 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, k: int = SKETCH, shared
         return pd.DataFrame(found, columns=["a", "b"])
 
     links = spread.groupBy("key").applyInPandas(compare, f"a {kind}, b {kind}")
-    joined = components(links)
+    joined = components(links.union(links_of_ids(sketched.filter(linked), classes)))
     named = stored(classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         "key_a", "key_b", F.coalesce("root", "rep").alias("component")), "components")
     out = sketched.select("doc_id", "n", "key_a", "key_b").join(named, ["key_a", "key_b"], "left")
