@@ -4,9 +4,10 @@ Writing: each page gives a request, a response (or revisit) and a metadata recor
 one payload digest is the response; the others revisit it, so their payload is written once. Records are rows of
 Spark's text writer, one row per record with a line end after it, gzipped: the files are plain WARC.
 
-Reading: Spark's text reader, with ``\r\nWARC/1.0\r\n`` as its line end, gives one row per record and splits
-uncompressed archives. The writer keeps that string out of blocks: a payload that holds ``WARC/1.0`` is sent chunked
-(RFC 9112), with a chunk's end inside the string. A record whose block is shorter than its Content-Length, as a foreign
+Reading: Spark's text reader, with ``\r\nWARC/1.`` as its line end, gives one row per record of WARC 1.0 and 1.1 and splits
+uncompressed archives. The writer keeps that string out of blocks: a payload that holds ``WARC/1.`` is sent chunked
+(RFC 9112), with a chunk's end inside the string. Chunks are joined in one pass over the body, by an Arrow function that sees chunked bodies
+only, so very long payloads take linear time. A record whose block is shorter than its Content-Length, as a foreign
 archive could give, has ``truncated`` set.
 
 Assembly: every record but the responses looks for its capture through WARC-Concurrent-To, in either direction and over
@@ -20,6 +21,7 @@ the response's id and payload are all responses. An empty table gives no rows.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ from broadsheet.llm.common import let, shared_path, stored, table
 SALTS = 64
 _EOL = "\r\n"
 _MARK = "WARC/1.0"
+_START = "WARC/1."
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -73,8 +76,8 @@ def _record(kind: Column | str, rid: Column, content_type: str, block: Column, *
 
 
 def _chunked(payload: Column) -> Column:
-    """The payload as HTTP chunks, cut inside each ``WARC/1.0``."""
-    pieces = F.split(payload, "(?<=WARC/)(?=1\\.0)")
+    """The payload as HTTP chunks, cut inside each ``WARC/1.``."""
+    pieces = F.split(payload, "(?<=WARC/)(?=1\\.)")
     size = lambda p: F.lower(F.hex(F.octet_length(p)))
     return F.concat(F.array_join(F.transform(pieces, lambda p: F.concat(size(p), F.lit(_EOL), p, F.lit(_EOL))), ""),
                     F.lit("0" + _EOL + _EOL))
@@ -88,7 +91,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     chosen = choose_responses(pages, min_bytes)
     rid = lambda role: F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")).alias(role)
     chosen = chosen.select("*", rid("response_id"), rid("request_id"), rid("metadata_id"))
-    marked = F.contains("payload", F.lit(_MARK)) & ~F.col("revisit")
+    marked = F.contains("payload", F.lit(_START)) & ~F.col("revisit")
     body = F.when(F.col("revisit"), "").when(marked, _chunked(F.col("payload"))).otherwise(F.col("payload"))
     http = F.concat(
         F.lit("HTTP/1.1 200 OK" + _EOL),
@@ -114,8 +117,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
 
 def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) -> DataFrame:
     """One row per record of the WARC files in ``path``: its headers, ids, payload (unchunked) and payload facts."""
-    raw = spark.read.option("lineSep", f"{_EOL}{_MARK}{_EOL}").text(path)
-    # Cut by bytes, since a body need not be UTF-8. The first record of a file still starts with the mark, as one more head line.
+    raw = spark.read.option("lineSep", _EOL + _START).text(path)
+    # Cut by bytes, since a body need not be UTF-8. What is left of the version is one more head line.
     top = lambda text: F.substring_index(text, _EOL + _EOL, 1)
     rows = raw.filter(F.contains("value", F.lit(_EOL + _EOL))).select(
         top(F.col("value")).alias("top"), F.col("value").cast("binary").alias("bytes"))
@@ -137,7 +140,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
         "http_head", F.when(F.col("record_type").isin("response", "revisit"), F.concat("block_top", F.lit(_EOL))))
     chunked = F.col("http_head").rlike(r"(?i)\r\nTransfer-Encoding:[ \t]*chunked")
     body = F.when(F.col("record_type") == "response", F.expr("substring(block, at + 5)"))
-    rows = rows.withColumn("payload", F.when(chunked, _unchunk(body)).otherwise(body))
+    rows = rows.withColumn("payload", F.when(chunked, F.pandas_udf(_unchunk, "binary")(F.when(chunked, body))).otherwise(body))
     known = F.regexp_extract("http_head", r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1)
     rows = rows.withColumns({
         "payload_bytes": F.coalesce(F.octet_length("payload").cast("long"), F.when(known != "", known.cast("long"))),
@@ -147,23 +150,20 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
                        "payload_digest", "declared_digest", *["payload"] * keep_payload)
 
 
-def _unchunk(body: Column) -> Column:
-    """The content of a chunked body, walked chunk by chunk: size line, data, line end. Worked on as hex, since it is bytes."""
-    text = F.hex(body)
-    state = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"), F.lit(False).alias("done"))
-    n = F.least(F.length(text), F.size(F.split(text, "0D0A")))
-
-    def step(s: Column, _: Column) -> Column:
-        rest = F.substr(text, s["at"])
-        size_hex = F.substring_index(rest, "0D0A", 1)
-        size = F.conv(F.decode(F.unhex(F.substring_index(size_hex, "3B", 1)), "US-ASCII"), 16, 10).cast("int")
-        begin = s["at"] + F.length(size_hex) + 4
-        over = s["done"] | size.isNull() | (size == 0)
-        return F.struct(F.when(over, s["at"]).otherwise(begin + size * 2 + 4).alias("at"),
-                        F.when(over, s["out"]).otherwise(F.concat(s["out"], F.substr(text, begin, size * 2))).alias("out"),
-                        over.alias("done"))
-
-    return F.unhex(F.aggregate(F.sequence(F.lit(1), n), state, step, lambda s: s["out"]))
+def _unchunk(bodies: pd.Series) -> pd.Series:
+    """The content of chunked bodies (null for null), chunk by chunk: size line, data, line end; what follows a size that is none is left."""
+    def content(body: bytes) -> bytes:
+        at, parts = 0, []
+        while (end := body.find(b"\r\n", at)) >= 0:
+            digits = body[at:end].split(b";")[0].strip()
+            size = int(digits, 16) if digits and not digits.strip(b"0123456789abcdefABCDEF") else 0
+            if size == 0:
+                break
+            parts.append(body[end + 2:end + 2 + size])
+            at = end + 2 + size + 2
+        return b"".join(parts)
+
+    return bodies.map(content, na_action="ignore")
 
 
 def assemble(records: DataFrame) -> DataFrame:
