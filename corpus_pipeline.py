@@ -1,4 +1,10 @@
-"""Corpus pipeline: rules, quality classifier, near duplicates, packing. Each stage reads what the one before kept."""
+"""Corpus pipeline: rules, quality classifier, near duplicates, packing. Each stage reads what the one before kept.
+
+Rows are documents, whatever their ids: rows that repeat an id stand or fall each by its own text, and of rows with near-equal
+texts one stays, the first in the stored table. Null and empty texts fail the rules, as do texts of fewer than 20 words; null ids,
+languages and sources are kept as they are. Very long texts go through whole. Scores that reach the cut exactly pass. Columns other than
+COLUMNS are left behind, whatever they are called; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -28,11 +34,11 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8. Rows with null ids stay."""
-    docs = docs.select(*COLUMNS)
-    verdicts = near_dup.near_duplicates(docs, width=5)
-    dropped = verdicts.filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*COLUMNS)
+    """One document of each group of near copies: shingles of five words, similarity 0.8. Rows are told apart by numbers, not by their ids."""
+    docs = stored(docs.select(*COLUMNS, F.monotonically_increasing_id().alias(_OWN)), "numbered")
+    verdicts = near_dup.near_duplicates(docs.select(F.col(_OWN).alias("doc_id"), "text"), width=5)
+    dropped = verdicts.filter(~F.col("kept")).select(F.col("doc_id").alias(_OWN))
+    return docs.join(dropped, _OWN, "left_anti").select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

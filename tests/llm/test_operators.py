@@ -140,6 +140,39 @@ def sets_of(texts, width):
     return out
 
 
+def test_packing_with_odd_targets(spark):
+    rows = [(i, "word " * 50, "abc"[i % 3]) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def sources(targets, size=64):
+        """The sources in output order, after checking that every document is there whole."""
+        found = packing.pack(docs, path, 2, size=size, packet=4, targets=targets).collect()
+        whole = {}
+        for r in found:
+            whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
+        assert whole == {i: 51 for i in range(60)} and sum(r.offset + r.length == size for r in found) == 60 * 51 // size
+        return ["abc"[r.doc_id % 3] for r in sorted(found, key=lambda r: (r.sequence_id, r.offset)) for _ in range(r.length)]
+
+    order = sources({"a": 1.0, "b": 0.0, "c": 1.0, "absent": 5.0})
+    assert "b" not in order[:40 * 51] and set(order[40 * 51:]) == {"b"}
+    assert sources({"a": 0.0, "b": 0.0, "c": 0.0}).count("a") == 20 * 51
+    order = sources({"a": 8.0, "b": 1.0, "c": 1.0})  # a runs dry first: the others go on
+    last = len(order) - order[::-1].index("a")
+    assert set(order[last:]) == {"b", "c"} and abs(order[:last].count("a") - 0.8 * last) < 64
+    for bad in (-1.0, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            packing.pack(docs, path, 2, targets={"a": bad})
+
+
+def test_repeated_ids_are_one_document(spark):
+    a, b, near = (" ".join(f"{w}{i}" for i in range(40)) for w in "abb")
+    rows = [(1, a), (5, a), (5, b), (9, near + " z"), (9, near + " z"), (11, "quite another text of its own"), (12, None), (12, b)]
+    found = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == sorted(
+        [(1, 1, True), (5, 1, False), (5, 1, False), (9, 1, False), (9, 1, False), (11, 11, True), (12, 12, True), (12, 1, False)])
+
+
 def test_near_duplicates(spark, docs, empty):
     rng = np.random.default_rng(3)
     base = [[f"t{x}" for x in rng.integers(0, 5000, n)] for n in (5, 30, 60, 100, 125, 150, 400, 3000)]
@@ -278,10 +311,30 @@ def test_warc(spark, tmp_path):
         seen.append((page, r.response.record_type, refers and int(refers)))
     expected = [(i, "response", None) for i in (0, 1, 3, 5, 6, 7, 7, None)] + [(2, "revisit", 1), (4, "revisit", 0), (8, "revisit", 0)]
     assert sorted(map(str, seen)) == sorted(map(str, expected))
+    many = "a\r\nWARC/1.1\r\n" * 100_000
+    warc.write_archives(spark.createDataFrame([(1, "u", many)], "page_id long, url string, html string"), path + "1")
+    long = warc.read_archives(spark, path + "1").filter("record_type = 'response'").collect()
+    assert [(bytes(r.payload), r.truncated) for r in long] == [(many.encode(), False)]
     warc.write_archives(pages.limit(0), path + "0")
     assert warc.assemble(warc.read_archives(spark, path + "0")).count() == 0
 
 
+def test_foreign_archive(spark, tmp_path):
+    """Both versions in one file; a chunk size with an extension; a body that ends early; a size line that is none."""
+    def record(version, rid, head, body, more=0):
+        block = f"HTTP/1.1 200 OK\r\n{head}\r\n\r\n".encode() + body
+        top = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <{rid}>\r\nContent-Length: {len(block) + more}\r\n\r\n"
+        return top.encode() + block + b"\r\n\r\n"
+
+    chunked = "transfer-encoding: chunked"
+    parts = [record("1.0", "a", "X: 1", b"\xff\xfe"), record("1.1", "b", chunked, b"4;x=y\r\nabcd\r\n1\r\ne\r\n0\r\n\r\n"),
+             record("1.1", "c", "X: 1", b"short", 100), record("1.0", "d", chunked, b"\xe9\r\nlost"), record("1.1", "e", chunked, b"9\r\npart")]
+    (tmp_path / "x.warc").write_bytes(b"".join(parts))
+    found = {r.record_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/x.warc").collect()}
+    assert {k: bytes(r.payload) for k, r in found.items() if k != "<c>"} == {"<a>": b"\xff\xfe", "<b>": b"abcde", "<d>": b"", "<e>": b"part"}
+    assert [k for k, r in found.items() if r.truncated] == ["<c>"]
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     good = "The report was written in the morning and it is of use to all who read it with care ."
@@ -354,3 +407,24 @@ def test_pipeline_stages(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == before
+
+
+def test_pipeline_with_repeated_ids_nulls_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    def prose(word, n=60):
+        return " ".join(f"the {word}{i} of it and" for i in range(n))
+
+    a, b = prose("a"), prose("b")
+    rows = [(1, a), (5, a), (5, b), (9, b + " z"), (9, b + " z"), (None, prose("c")), (None, prose("d")), (7, None), (8, ""), (10, "too short")]
+    docs = spark.createDataFrame([(*r, "en", None, 1, "x", 2) for r in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long, score string, corpus_pipeline_verdict int")
+    sf = "/root/testdata/sf0.001"
+    ruled = corpus_pipeline.by_rules(spark, docs, sf)
+    assert sorted(map(str, (r.doc_id for r in ruled.collect()))) == sorted(map(str, (i for i, t in rows if t and len(t) > 20)))
+    kept = corpus_pipeline.without_near_copies(spark, ruled, sf).collect()
+    groups = [{r[1][:8] for r in rows[:2]}, {b[:8]}, {prose("c")[:8]}, {prose("d")[:8]}]
+    assert len(kept) == 4 and all(sum(r.text[:8] in g for r in kept) == 1 for g in groups)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        assert name == "packing" or tuple(stage(spark, docs, sf).columns) == corpus_pipeline.COLUMNS
