@@ -212,10 +212,11 @@ def _with_columns(pages: DataFrame) -> DataFrame:
     titles = F.filter(textish, lambda b: ~F.col("titles_only") & (b["label"] == "title"))
     pages = pages.withColumn("placed", place_titles(titles, hulls))
     seq = F.transform(titles, lambda b: b["seq"])
-    column = F.transform("blocks", lambda b: F.when(~b["textish"], -1).when(
-        (b["label"] == "title") & ~F.col("titles_only"),
-        F.get(F.col("placed"), (F.array_position(seq, b["seq"]) - 1).cast("int")),
-    ).otherwise(column_of(b["x0"], F.col("starts"))))
+    # Bound by let: a column that stands once, inside a lambda, would be inlined there and computed for every block.
+    column = tx.let(F.col("placed"), lambda placed: tx.let(F.col("starts"), lambda starts: tx.let(seq, lambda seq: F.transform(
+        "blocks", lambda b: F.when(~b["textish"], -1).when(
+            (b["label"] == "title") & ~F.col("titles_only"), F.get(placed, (F.array_position(seq, b["seq"]) - 1).cast("int")),
+        ).otherwise(column_of(b["x0"], starts))))))
     return pages.withColumn("columns", column).drop("starts", "placed", "titles_only")
 
 
@@ -225,21 +226,36 @@ def _items(**more) -> Column:
         (more[n](b, i) if n in more else b[n]).alias(n) for n in made.ITEM]))
 
 
+@tx.once
+def _title_steps() -> dict[str, Column]:
+    never = lambda b, i: F.lit(False)
+
+    def items(columns: Column) -> Column:
+        column = lambda b, i: F.get(columns, i)
+        return _items(column=column, home=column, lead=never, merged=never)
+
+    def leads(pairs: Column) -> Column:
+        return F.transform("blocks", lambda b, i: F.coalesce(F.get(F.filter(pairs, lambda p: p["i"] == i), F.lit(0))["lead"], F.lit(-1)))
+
+    return {"items": tx.let(F.col("columns"), items), "kept": made.drop_embedded_titles(made.title_candidates(F.col("items"))),
+            "pairs": made.merge_adjacent_titles(F.col("kept"), F.col("items")), "leads": tx.let(F.col("pairs"), leads)}
+
+
 def title_groups(pages: DataFrame) -> DataFrame:
     """Adds ``leads``: per block the index of the title leading its title group, else -1."""
-    column = lambda b, i: F.get("columns", i)
-    never = lambda b, i: F.lit(False)
-    pages = pages.withColumn("items", _items(column=column, home=column, lead=never, merged=never))
-    pages = pages.withColumn("kept", made.drop_embedded_titles(made.title_candidates(F.col("items"))))
-    pages = pages.withColumn("pairs", made.merge_adjacent_titles(F.col("kept"), F.col("items")))
-    leads = F.transform("blocks", lambda b, i: F.coalesce(F.get(F.filter("pairs", lambda p: p["i"] == i), F.lit(0))["lead"], F.lit(-1)))
-    return pages.withColumn("leads", leads).drop("items", "kept", "pairs")
+    for name, step in _title_steps().items():
+        pages = pages.withColumn(name, step)
+    return pages.drop("items", "kept", "pairs")
 
 
 def merge_title_blocks(pages: DataFrame) -> DataFrame:
     """Gives each leading title the text, hull and lowest column of its whole group."""
     pages = pages.withColumn("zipped", F.arrays_zip("blocks", "columns", "leads"))
+    return pages.withColumn("blocks", _merged_blocks()).drop("columns", "leads", "zipped")
 
+
+@tx.once
+def _merged_blocks() -> Column:
     def members(i: Column) -> Column:
         return F.array_sort(F.transform(
             F.filter("zipped", lambda m: m["leads"] == i),
@@ -271,7 +287,7 @@ def merge_title_blocks(pages: DataFrame) -> DataFrame:
         several = (lead == i) & (F.size(F.filter("leads", lambda other: other == i)) > 1)
         return F.when(several, tx.let(members(i), lambda g: whole(b, item["columns"], g))).otherwise(alone)
 
-    return pages.withColumn("blocks", F.transform("zipped", settled)).drop("columns", "leads", "zipped")
+    return F.transform("zipped", settled)
 
 
 BLOCK_FIELDS = ("seq", "block_id", "label", "x0", "y0", "x1", "y1", "text", "confidence", *FACTS,
@@ -286,27 +302,33 @@ def cluster_pages(blocks: DataFrame) -> DataFrame:
     page and is -1 where it belongs to none.
     """
     pages = merge_title_blocks(title_groups(page_rows(blocks)))
-    pages = made.build_articles(pages.withColumn("items", _items()))
+    steps = _page_steps()
+    pages = made.build_articles(pages.withColumn("items", steps["items"]))
+    pages = pages.select(*PAGE, "width", "height", "blocks", "found", steps["by_index"].alias("entries"))
+    pages = pages.select(*PAGE, "width", "height", steps["placed"].alias("blocks"), "found").withColumn("drafts", steps["drafts"])
+    # Behind a generator, so that filters on the outcome (an explode brings some) are not pushed down as copies of the whole computation.
+    outcome = F.struct("blocks", steps["ordered"].alias("articles"))
+    return pages.select(*PAGE, "width", "height", F.explode(F.array(outcome)).alias("page")).select(*PAGE, "width", "height", "page.blocks", "page.articles")
+
+
+@tx.once
+def _page_steps() -> dict[str, Column]:
     by_index = F.map_from_entries(F.transform("entries", lambda e: F.struct(e["i"].alias("i"), e.alias("e"))))
-    pages = pages.select(*PAGE, "width", "height", "blocks", "found", by_index.alias("entries"))
     none = {"article": F.lit(-1), "rank": F.lit(-1), "role": F.lit("none"), "of_image": F.lit(-1)}
 
-    def placed(b: Column, i: Column) -> Column:
-        return tx.let(F.try_element_at("entries", i), lambda e: F.struct(
+    def placed(entries: Column, b: Column, i: Column) -> Column:
+        return tx.let(F.try_element_at(entries, i), lambda e: F.struct(
             *[F.coalesce(e[n], default).alias(n) for n, default in none.items()], *[b[n].alias(n) for n in BLOCK_FIELDS],
             b["column"].alias("column_index"), b["merged"].alias("merged")))
 
-    pages = pages.select(*PAGE, "width", "height", F.transform("blocks", placed).alias("blocks"), "found")
     drafts = F.transform("found", lambda a, number: tx.let(
         F.filter("blocks", lambda b: b["article"] == number), lambda mine: _draft(a, number, mine)))
-    pages = pages.withColumn("drafts", drafts)
     kept = F.filter("drafts", lambda d: tx.let(tx.normalize_text(d["title"]), lambda title: keep_article(
         title, d["body_text"], d["image_count"], d["image_area"], d["caption_count"])))
     order = ("y0", "column_index", "x0", "article_key")
     ordered = F.array_sort(F.transform(kept, lambda d: F.struct(*[d[n].alias(n) for n in order], d.alias("d"))))
-    # Behind a generator, so that filters on the outcome (an explode brings some) are not pushed down as copies of the whole computation.
-    outcome = F.struct("blocks", F.transform(ordered, lambda o: o["d"]).alias("articles"))
-    return pages.select(*PAGE, "width", "height", F.explode(F.array(outcome)).alias("page")).select(*PAGE, "width", "height", "page.blocks", "page.articles")
+    return {"items": _items(), "by_index": by_index, "drafts": drafts, "ordered": F.transform(ordered, lambda o: o["d"]),
+            "placed": tx.let(F.col("entries"), lambda entries: F.transform("blocks", lambda b, i: placed(entries, b, i)))}
 
 
 def _draft(found: Column, number: Column, mine: Column) -> Column:
@@ -357,10 +379,10 @@ def articles(pages: DataFrame) -> DataFrame:
 
 
 def article_blocks(pages: DataFrame) -> DataFrame:
-    """Every block or picture of an article, with its role and place."""
+    """Every block or picture of an article, with its role, its place and (captions) the number of its picture."""
     b = F.col("b")
     return pages.select(*PAGE, F.explode("blocks").alias("b")).where(b["article"] >= 0).select(
-        *PAGE, b["article"].alias("article_key"), "b.rank", "b.role", "b.block_id", "b.label", "b.column_index")
+        *PAGE, b["article"].alias("article_key"), "b.rank", "b.role", "b.block_id", "b.label", "b.column_index", "b.of_image")
 
 
 def images(pages: DataFrame) -> DataFrame:

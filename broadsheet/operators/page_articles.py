@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.functions.geometry import Box, bbox_area, bbox_distance, bbox_height, center_x, h_overlap_ratio
-from broadsheet.functions.text import let
+from broadsheet.functions.text import let, once
 
 PAGE = ["doc_id", "page_no"]
 SIDES = Box._fields
@@ -141,9 +141,12 @@ def next_title_top(title: Box, span: Column, later: Column) -> Column:
 
 def _runs_through(title: Column, bodies: Column, before: int, after: int) -> Column:
     """Body text ends shortly above the title and goes on shortly below it."""
-    above = F.array_max(F.transform(F.filter(bodies, lambda b: b["y0"] < title["y0"]), lambda b: b["y1"]))
-    below = F.array_min(F.transform(F.filter(bodies, lambda b: b["y1"] > title["y0"]), lambda b: b["y0"]))
-    return F.coalesce((title["y0"] - above <= before) & (below - title["y1"] <= after), F.lit(False))
+    def check(found: Column) -> Column:
+        above = F.array_max(F.transform(F.filter(found, lambda b: b["y0"] < title["y0"]), lambda b: b["y1"]))
+        below = F.array_min(F.transform(F.filter(found, lambda b: b["y1"] > title["y0"]), lambda b: b["y0"]))
+        return F.coalesce((title["y0"] - above <= before) & (below - title["y1"] <= after), F.lit(False))
+
+    return let(bodies, check)
 
 
 def title_candidates(items: Column) -> Column:
@@ -517,14 +520,25 @@ def outcome(articles: Column) -> Column:
     return F.flatten(F.transform(articles, entries))
 
 
-def build_articles(pages: DataFrame) -> DataFrame:
-    """Adds ``entries`` (see ``outcome``) and ``found`` (column_index, layout_type of each article) to pages with ``items``."""
-    i = F.col("items")
+@once
+def _steps() -> list[Column]:
+    """``made`` step by step, from ``items`` and the page's size."""
+    i, made = F.col("items"), F.col("made")
     titled = F.exists(i, lambda b: b["textish"] & b["lead"])
-    pages = pages.withColumn("made", F.when(titled, claim_blocks(i)).otherwise(split_columns(i)))
-    pages = pages.withColumn("made", attach_images(F.col("made"), i))
-    pages = pages.withColumn("made", with_facts(attach_leftovers(F.col("made"), i)))
-    led = merge_image_led(F.col("made"), F.col("width"), F.col("height"))
-    pages = pages.withColumn("made", with_facts(led)).withColumn("made", merge_fragments(F.col("made")))
+    led = merge_image_led(made, F.col("width"), F.col("height"))
+    return [F.when(titled, claim_blocks(i)).otherwise(split_columns(i)), attach_images(made, i), with_facts(attach_leftovers(made, i)),
+            with_facts(led), merge_fragments(made)]
+
+
+@once
+def _results() -> tuple[Column, Column]:
     found = F.transform("made", lambda a: F.struct(a["column"].alias("column_index"), a["layout"].alias("layout_type")))
-    return pages.withColumn("entries", outcome(F.col("made"))).withColumn("found", found).drop("made")
+    return outcome(F.col("made")), found
+
+
+def build_articles(pages: DataFrame) -> DataFrame:
+    """Adds ``entries`` (see ``outcome``) and ``found`` (column_index, layout_type of each article) to pages with ``items``."""
+    for step in _steps():
+        pages = pages.withColumn("made", step)
+    entries, found = _results()
+    return pages.withColumns({"entries": entries, "found": found}).drop("made")

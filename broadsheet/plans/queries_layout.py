@@ -348,14 +348,6 @@ def q_place_titles(spark, sf_dir):
     return rows.where(F.col("label") == "title").join(whole, PAGE, "left_semi").select(*PAGE, "block_id", "column_index")
 
 
-@query("cluster_articles")
-def q_cluster_articles(spark, sf_dir):
-    out = cl.articles(cl.cluster_pages(sheet_blocks(spark, sf_dir)))
-    return out.select(*PAGE, "article_order", "column_index", "title", "body_text", *Box._fields, F.round("confidence", 4).alias("confidence"),
-                      "layout_type", "image_count", "caption_count", "publication", F.col("issue.parsed.issue_date").alias("issue_date"),
-                      F.col("issue.parsed.issue_page").alias("issue_page"), F.col("issue.parsed.issue_section").alias("issue_section"))
-
-
 # Sheets whose articles are certain: every title stands clear of the text above it.
 CLEAR_SQL = f"""{LINES_SQL},
 placed AS (SELECT doc_id, line, line_no, CAST(line_no // 48 + 1 AS INT) AS page_no, CAST((line_no % 48) // 12 AS INT) AS col, CAST(line_no % 12 AS INT) AS row FROM lines),
@@ -392,26 +384,6 @@ def q_cluster_clear_sheets(spark, sf_dir):
     return out.select(*PAGE, "article_order", "title", "body_text", "x0", "y0")
 
 
-@query("article_images")
-def q_article_images(spark, sf_dir):
-    return cl.images(cl.cluster_pages(sheet_blocks(spark, sf_dir)))
-
-
-@query("article_captions")
-def q_article_captions(spark, sf_dir):
-    return cl.captions(cl.cluster_pages(sheet_blocks(spark, sf_dir)))
-
-
-@query("article_blocks")
-def q_article_blocks(spark, sf_dir):
-    return cl.article_blocks(cl.cluster_pages(sheet_blocks(spark, sf_dir)))
-
-
-@query("unassigned_blocks")
-def q_unassigned_blocks(spark, sf_dir):
-    return cl.unassigned(cl.cluster_pages(sheet_blocks(spark, sf_dir)))
-
-
 @query("column_segments", f"""WITH {SHEET_SQL}, body AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY col) - 1 AS column_index FROM sheet WHERE label NOT IN ('header', 'title')),
 h AS (SELECT doc_id, page_no, column_index, greatest(floor(list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS INT) + 1] * 1.0 * 2.8), 70) AS lim FROM body GROUP BY 1, 2, 3),
 g AS (SELECT *, y0 - lag(y1) OVER (PARTITION BY doc_id, page_no, column_index ORDER BY y0, x0, seq) AS gap FROM body)

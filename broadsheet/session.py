@@ -16,6 +16,8 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Call sites of Columns, recorded one call to the JVM each, more than double the time to build large expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
