@@ -75,8 +75,9 @@ def build_columns(blocks: DataFrame) -> DataFrame:
     pages = blocks.groupBy(*PAGE).agg(
         F.max("width").alias("width"), F.max("height").alias("height"), F.sort_array(F.collect_list(item)).alias("bs"))
     pages = pages.withColumn("columns", seed_columns(F.col("bs"), F.col("width")))
-    rows = pages.select(*PAGE, "width", "height", F.explode(F.transform("bs", lambda b: F.struct(
-        b.alias("b"), best_column(b, F.col("columns")).alias("column_index")))).alias("r"))
+    # Bound by let: standing once inside the lambda, the columns would be inlined there and seeded anew for every block.
+    placed = let(F.col("columns"), lambda columns: F.transform("bs", lambda b: F.struct(b.alias("b"), best_column(b, columns).alias("column_index"))))
+    rows = pages.select(*PAGE, "width", "height", F.explode(placed).alias("r"))
     rows = rows.select(*PAGE, "width", "height", "r.column_index", "r.b.*")
     return rows.withColumn("column_x0", F.min("x0").over(Window.partitionBy(*PAGE, "column_index")))
 

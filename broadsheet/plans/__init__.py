@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("geometry", "text", "layout", "articles", "reports", "documents", "registry")
+MODULES = ("geometry", "text", "layout", "articles", "segments", "reports", "documents", "registry")
 
 
 def load_catalog():

@@ -298,11 +298,6 @@ def q_headline_score(spark, sf_dir):
     return out.select(*PAGE, "block_id", F.round(score, 4).alias("score"))
 
 
-@query("segment_pages")
-def q_segment_pages(spark, sf_dir):
-    return segment.segment_pages(column_blocks(spark, sf_dir), page_list(spark, sf_dir))
-
-
 # -- clustering ------------------------------------------------------------------------------
 
 @query("source_metadata_blocks", f"""WITH {SHEET_SQL}, n AS (SELECT *, {q.normalize('text')} AS norm FROM sheet WHERE label <> 'image'),
