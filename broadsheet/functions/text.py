@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import functools
+import html.entities
+import json
 import unicodedata
 
 from pyspark import SparkContext
@@ -13,16 +15,6 @@ from pyspark.sql import functions as F
 SPACE = r"[\s\x0B\x1c-\x1f\x{85}\p{Z}]"
 SPACES = "".join(c for c in map(chr, range(0x3001)) if c in "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c) in ("Zs", "Zl", "Zp"))
 
-# Named entities decoded natively. The ampersand comes last on purpose.
-NAMED_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
-    ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"),
-    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
-    ("&bull;", "•"),
-)
-
-
 def strip(text: Column) -> Column:
     """Trim all Unicode whitespace, not just blanks; in linear time, however long the blanks."""
     return F.btrim(text, F.lit(SPACES))
@@ -82,27 +74,70 @@ def once(make):
     return get
 
 
+#: A character reference as HTML reads it, semicolon or not.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: Names that HTML knows without a semicolon too, longest first.
+_SHORT = {name for name in html.entities.html5 if not name.endswith(";")}
+_LENGTHS = sorted({len(name) for name in _SHORT}, reverse=True)
+
+
+def _numbers() -> dict[str, str]:
+    """What numbers stand for that are no characters of their own: bytes of the Windows code page, and controls, which vanish."""
+    def reading(n: int) -> str:
+        try:
+            return bytes([n]).decode("cp1252")
+        except UnicodeDecodeError:
+            return chr(n)
+
+    controls = {n: "" for n in (*range(1, 9), 0x0B, *range(0x0E, 0x20), 0x7F)}
+    return {str(n): c for n, c in (controls | {0: "\ufffd", 0x0D: "\r"} | {n: reading(n) for n in range(0x80, 0xA0)}).items()}
+
+
+@once
+def _entity_maps() -> dict[str, Column]:
+    """Maps as one literal each, so that a plan does not carry thousands of nodes."""
+    tables = {"names": html.entities.html5, "short": {n: html.entities.html5[n] for n in _SHORT}, "numbers": _numbers()}
+    return {k: F.from_json(F.lit(json.dumps(v)), "map<string,string>") for k, v in tables.items()}
+
+
 def _code_point(number: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
 
 
-def _reference_char(ref: Column) -> Column:
-    """Character of a numeric reference such as ``&#183;`` or ``&#xB7;``."""
-    hexadecimal = F.conv(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)
-    decimal = F.regexp_extract(ref, "#([0-9]+)", 1)
-    return _code_point(F.coalesce(F.nullif(decimal, F.lit("")), hexadecimal).cast("long"))
+def _numbered(name: Column) -> Column:
+    """Character of a numeric reference such as ``#183`` or ``#xB7``."""
+    hexadecimal = F.regexp_extract(name, "^#[xX]0*([0-9A-Fa-f]*)", 1)
+    decimal = F.regexp_extract(name, "^#0*([0-9]*)", 1)
+    digits = F.when(name.rlike("^#[xX]"), F.when(F.length(hexadecimal) <= 6, F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10))).otherwise(
+        F.when(F.length(decimal) <= 7, F.concat(F.lit("0"), decimal)))
+    number = F.coalesce(digits.cast("long"), F.lit(0x110000))
+
+    def character(n: Column) -> Column:
+        none = ((n >= 0xFDD0) & (n <= 0xFDEF)) | F.pmod(n, F.lit(0x10000)).isin(0xFFFE, 0xFFFF)
+        return (F.when((n > 0x10FFFF) | ((n >= 0xD800) & (n <= 0xDFFF)), F.lit("\ufffd"))
+                .otherwise(F.coalesce(_entity_maps()["numbers"][n.cast("string")], F.when(none, F.lit("")).otherwise(_code_point(n)))))
+
+    return let(number, character)
+
+
+def _decoded(ref: Column) -> Column:
+    """What a reference stands for: a number, a name, the longest short name it starts with, or itself."""
+    def of(name: Column) -> Column:
+        maps = _entity_maps()
+        starts = [F.concat(maps["short"][F.substring(name, 1, n)], F.substr(name, F.lit(n + 1))) for n in _LENGTHS]
+        return F.when(name.startswith("#"), _numbered(name)).otherwise(F.coalesce(maps["names"][name], *starts, ref))
+
+    return let(F.substr(ref, F.lit(2)), of)
 
 
 def unescape(text: Column) -> Column:
-    """Decode HTML entities: the named ones above, then decimal and hexadecimal references."""
-    out = text
-    for entity, char in NAMED_ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    references = F.lit("&#(?:[0-9]{1,6}|[xX][0-9A-Fa-f]{1,5});")
-    out = let(out, lambda o: F.aggregate(
-        F.array_distinct(F.regexp_extract_all(o, references, F.lit(0))), o,
-        lambda acc, ref: F.replace(acc, ref, _reference_char(ref))))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    """Decode the character references of HTML in one pass: what one decodes to is not read again."""
+    def joined(t: Column) -> Column:
+        pieces, refs = F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        return let(refs, lambda found: F.array_join(F.transform(pieces, lambda p, i: F.concat(
+            p, F.coalesce(_decoded(F.get(found, i)), F.lit("")))), ""))
+
+    return let(text, lambda t: F.when(F.contains(t, F.lit("&")), joined(t)).otherwise(t))
 
 
 def _tidy_lines(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,22 @@ def _pages(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", "html")
 
 
+# Every name of the HTML standard, cut in front of the semicolon now and then, between words of a line.
+ENTITY_NAMES = sorted(html.entities.html5)
+ENTITY_SQL = ", ".join(f"({q.lit('&' + name)}, {q.lit(chars)})" for name, chars in html.entities.html5.items())
+
+
+@query("unescape", f"""WITH e(ref, chars) AS (VALUES {ENTITY_SQL}), n AS (SELECT *, row_number() OVER (ORDER BY ref) - 1 AS k FROM e)
+SELECT o_orderkey, 'a ' || chars || ' &' || o_orderkey  || '; &' || chr((o_orderkey % 26 + 65)::INT) || ' ' || chr((o_orderkey % 30 + 12352)::INT) || ' end' AS text
+FROM orders JOIN n ON k = o_orderkey % {len(ENTITY_NAMES)}""")
+def q_unescape(spark, sf_dir):
+    names = F.from_json(F.lit(json.dumps([f"&{name}" for name in ENTITY_NAMES])), "array<string>")
+    key = F.col("o_orderkey")
+    parts = [F.lit("a "), F.get(names, (key % len(ENTITY_NAMES)).cast("int")), F.lit(" &"), key, F.lit("; &amp"), F.char(key % 26 + 65), F.lit(" &#"),
+             key % 30 + 12352, F.lit(";"), F.lit(" end")]
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.unescape(F.concat(*parts)).alias("text"))
+
+
 @query("strip_markup", f"SELECT page_id, {q.strip_markup('html')} AS text FROM pages")
 def q_strip_markup(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", tx.strip_markup(F.col("html")).alias("text"))

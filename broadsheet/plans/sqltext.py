@@ -3,7 +3,16 @@
 from __future__ import annotations
 
 from broadsheet.functions import newspaper as news
-from broadsheet.functions.text import NAMED_ENTITIES, SPACE
+from broadsheet.functions.text import SPACE
+
+# The entities that the pages hold. The ampersand comes last on purpose.
+NAMED_ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&middot;", "·"), ("&copy;", "©"), ("&reg;", "®"), ("&hellip;", "…"),
+    ("&ndash;", "–"), ("&mdash;", "—"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
+    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&laquo;", "«"), ("&raquo;", "»"),
+    ("&bull;", "•"),
+)
 
 
 def lit(text: str) -> str:

@@ -29,6 +29,17 @@ def test_unescape(spark, text, expected):
     assert one(spark, t=text.replace(" ", " ")).select(tx.unescape(F.col("t"))).first()[0].replace(" ", " ") == expected.replace(" ", " ")
 
 
+def test_unescape_reads_like_a_browser(spark):
+    import html
+
+    names = sorted(html.entities.html5)
+    texts = [f"a&{n} b" for n in names[::3]] + [f"&{n.rstrip(';')}xyz;" for n in names[::5]] + [f"&#{n};" for n in [*range(300), 0xD800, 0xFDD0, 0xFFFE, 0x1F600, 0x110000, 10 ** 12]]
+    texts += ["&#x1f600 &#X41;&#x0;", "&&lt;&amp;amp;", "& &; &#; &#x; &notit; &amp", "&#38;lt;", "a" * 50 + "&" + "b" * 50 + ";", "&lt;&gt;" * 100, "", "&", "no", "&#x110000;&#x000041;"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.unescape(F.col("t")).alias("u")).collect()
+    wrong = [(texts[r.i], r.u, html.unescape(texts[r.i])) for r in rows if r.u != html.unescape(texts[r.i])]
+    assert not wrong, wrong[:5]
+
+
 def test_page_range_must_ascend(spark):
     df = one(spark, t="3-1")
     with pytest.raises(Exception, match="ascending"):
