@@ -13,6 +13,7 @@ from broadsheet.functions import newspaper as news
 from broadsheet.functions.geometry import Box
 from broadsheet.functions.text import SPACE
 from broadsheet.operators import cluster as cl
+from broadsheet.operators import documents
 from broadsheet.plans import inputs
 from broadsheet.plans import sqltext as q
 from broadsheet.plans.catalog import query
@@ -433,3 +434,53 @@ def q_article_captions(spark, sf_dir):
 @query("unassigned_blocks", chain_sql(ROUGH_SQL, "rough", FREE_SQL))
 def q_unassigned_blocks(spark, sf_dir):
     return cl.unassigned(cl.cluster_pages(rough_blocks(spark, sf_dir))).select(*PAGE, "block_id", "label", *Box._fields)
+
+
+# -- documents from their articles ---------------------------------------------------------------
+
+TEXTS_SQL = f"""page_texts AS (SELECT doc_id, page_no, doc_id * 1000000 + page_no AS p,
+  coalesce(string_agg({q.strip('text')}, chr(10) ORDER BY seq) FILTER (WHERE {q.strip('text')} <> ''), '') AS page_text FROM sheet GROUP BY doc_id, page_no),
+page_articles AS (SELECT p, count(*) AS n, string_agg(headline, '|' ORDER BY article_order) AS titles, string_agg(body_text, '|' ORDER BY article_order) AS bodies,
+  string_agg(concat_ws(chr(10) || chr(10), CASE WHEN {q.strip('headline')} <> '' THEN '## ' || {q.strip('headline')} END, nullif({q.strip('body_text')}, '')),
+    chr(10) || chr(10) ORDER BY article_order) AS pieces FROM final GROUP BY p),
+doc_totals AS (SELECT doc_id, count(*) AS page_count, coalesce(sum(n), 0) AS total_articles, string_agg(page_text, chr(10) || chr(10) ORDER BY page_no) FILTER (WHERE page_text <> '') AS full_text,
+  string_agg('# Page ' || page_no || chr(10) || chr(10) || coalesce(nullif(pieces, ''), page_text), chr(10) || chr(10) ORDER BY page_no) AS markdown
+  FROM page_texts LEFT JOIN page_articles USING (p) GROUP BY doc_id),
+batch AS (SELECT doc_id // 7 AS collection_id, doc_id AS file_id FROM documents UNION ALL SELECT doc_id // 7, -1 FROM documents WHERE doc_id % 28 = 0),
+done AS (SELECT collection_id, file_id, CASE WHEN markdown IS NULL THEN 'failed' ELSE 'complete' END AS status, CASE WHEN markdown IS NULL THEN 'file not found: ' || file_id END AS error,
+  page_count, total_articles, full_text, markdown FROM batch LEFT JOIN doc_totals ON doc_id = file_id)"""
+
+
+def documents_sql(select: str) -> str:
+    return chain_sql(SHEET_SQL, "sheet", select).replace(f", {FINAL_SQL}", f", {FINAL_SQL}, {TEXTS_SQL}") if "FROM final" in select else (
+        chain_sql(SHEET_SQL, "sheet", "").rstrip() + f", {FINAL_SQL}, {TEXTS_SQL}\n{select}")
+
+
+def document_collections(spark, sf_dir) -> DataFrame:
+    """Seven documents a collection; every fourth one names a file that does not exist."""
+    group = F.floor(F.col("doc_id") / 7)
+    docs = inputs.table(spark, sf_dir, "documents").groupBy(group.alias("collection_id")).agg(F.sort_array(F.collect_list("doc_id")).alias("ids"), F.max(
+        F.col("doc_id") % 28 == 0).alias("odd"))
+    return docs.select("collection_id", F.when(F.col("odd"), F.concat("ids", F.array(F.lit(-1).cast("bigint")))).otherwise(F.col("ids")).alias("file_ids"))
+
+
+@query("segment_document_pages", documents_sql("""SELECT doc_id, page_no, page_text, coalesce(n, 0) AS n_articles, coalesce(titles, '') AS titles, coalesce(bodies, '') AS bodies
+FROM page_texts LEFT JOIN page_articles USING (p)"""))
+def q_segment_document_pages(spark, sf_dir):
+    """Pages with the articles that the clustering finds."""
+    pages = documents.segmented_pages(sheet_blocks(spark, sf_dir))
+    return pages.select(*PAGE, "page_text", F.size("articles").cast("long").alias("n_articles"), F.array_join("articles.title", "|").alias("titles"),
+                        F.array_join("articles.body_text", "|").alias("bodies"))
+
+
+@query("batch_run_segment", documents_sql("SELECT collection_id, file_id, status, error, page_count, total_articles, full_text FROM done"))
+def q_batch_run_segment(spark, sf_dir):
+    rows, _ = documents.run_batch(document_collections(spark, sf_dir), sheet_blocks(spark, sf_dir), "segment_document")
+    kind = "struct<page_count:long,total_articles:long,full_text:string>"
+    return rows.withColumn("r", F.from_json("result", kind)).select("collection_id", "file_id", "status", "error", "r.*")
+
+
+@query("batch_run_convert", documents_sql("SELECT collection_id, file_id, status, error, markdown FROM done"))
+def q_batch_run_convert(spark, sf_dir):
+    rows, _ = documents.run_batch(document_collections(spark, sf_dir), sheet_blocks(spark, sf_dir), "convert_document", formats="markdown")
+    return rows.select("collection_id", "file_id", "status", "error", F.get_json_object("result", "$.markdown").alias("markdown"))
