@@ -98,19 +98,30 @@ def job_quality(pages: DataFrame, key: str = "job_id") -> DataFrame:
     def number(status: str) -> Column:
         return F.count_if(F.col("status") == status)
 
-    sums = pages.groupBy(key).agg(
+    out = with_top_reasons(pages, key, "reasons", 5, [
         number("ready").alias("ready_pages"), number("warning").alias("warning_pages"),
         number("blocked").alias("blocked_pages"), F.count(F.lit(1)).alias("measured_pages"),
-        F.round(F.avg("score"), 4).alias("average_score"))
-    named = pages.select(key, F.explode("reasons").alias("reason")).groupBy(key, "reason").agg(F.count(F.lit(1)).alias("n"))
-    # At most one row per kind of reason and key: a handful.
-    top = named.groupBy(key).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "reason"))), 1, 5).alias("t"))
-    top = top.select(key, F.transform("t", lambda t: t["reason"]).alias("top_reasons"))
+        F.round(F.avg("score"), 4).alias("average_score")])
     status = F.when(F.col("blocked_pages") > 0, "blocked").when(F.col("warning_pages") > 0, "warning").otherwise("ready")
-    return sums.join(top, key, "left").select(
+    return out.select(
         key, status.alias("status"), "average_score", "ready_pages", "warning_pages", "blocked_pages",
-        (F.col("warning_pages") + F.col("blocked_pages")).alias("review_pages"), "measured_pages",
-        F.coalesce("top_reasons", F.array().cast("array<string>")).alias("top_reasons"))
+        (F.col("warning_pages") + F.col("blocked_pages")).alias("review_pages"), "measured_pages", F.col("top").alias("top_reasons"))
+
+
+def with_top_reasons(rows: DataFrame, key: str, reasons: str, top: int, sums: list[Column], also: tuple[str, ...] = ()) -> DataFrame:
+    """``sums`` per key, and ``top``, its commonest reasons, in one pass over ``rows``.
+
+    Each row is counted under its reasons and once under none, where the sums are made; ``also`` are reasons that each key has once.
+    """
+    each = rows.withColumn("_reason", F.explode(F.concat(reasons, F.array(F.lit(None).cast("string")))))
+    counted = each.groupBy(key, "_reason").agg(F.count(F.lit(1)).alias("_n"), *sums)
+    names = [c for c in counted.columns if c not in (key, "_reason", "_n")]
+    whole = F.col("_reason").isNull()
+    # At most one row per kind of reason and key: a handful.
+    named = F.collect_list(F.when(~whole, F.struct((-F.col("_n")).alias("n"), F.col("_reason").alias("reason"))))
+    named = F.concat(named, *[F.array(F.struct(F.lit(-1).cast("long").alias("n"), F.lit(r).alias("reason"))) for r in also])
+    out = counted.groupBy(key).agg(*[F.max(F.when(whole, F.col(n))).alias(n) for n in names], F.slice(F.sort_array(named), 1, top).alias("top"))
+    return out.withColumn("top", F.transform("top", lambda t: t["reason"]))
 
 
 def parse_quality_score(blocks: DataFrame) -> DataFrame:
