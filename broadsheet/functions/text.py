@@ -76,6 +76,8 @@ def once(make):
 
 #: A character reference as HTML reads it, semicolon or not.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+#: The same where only a semicolon ends one.
+CLOSED_REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[^\t\n\f <&#;]{1,32});"
 #: Names that HTML knows without a semicolon too, longest first.
 _SHORT = {name for name in html.entities.html5 if not name.endswith(";")}
 _LENGTHS = sorted({len(name) for name in _SHORT}, reverse=True)
@@ -120,22 +122,27 @@ def _numbered(name: Column) -> Column:
     return let(number, character)
 
 
-def _decoded(ref: Column) -> Column:
-    """What a reference stands for: a number, a name, the longest short name it starts with, or itself."""
+def _decoded(ref: Column, closed: bool) -> Column:
+    """What a reference stands for: a number, a name, the longest short name it starts with (unless ``closed``), or itself."""
     def of(name: Column) -> Column:
         maps = _entity_maps()
-        starts = [F.concat(maps["short"][F.substring(name, 1, n)], F.substr(name, F.lit(n + 1))) for n in _LENGTHS]
+        starts = [F.concat(maps["short"][F.substring(name, 1, n)], F.substr(name, F.lit(n + 1))) for n in _LENGTHS if not closed]
         return F.when(name.startswith("#"), _numbered(name)).otherwise(F.coalesce(maps["names"][name], *starts, ref))
 
     return let(F.substr(ref, F.lit(2)), of)
 
 
-def unescape(text: Column) -> Column:
-    """Decode the character references of HTML in one pass: what one decodes to is not read again."""
+def unescape(text: Column, closed: bool = False) -> Column:
+    """Decode the character references of HTML in one pass: what one decodes to is not read again.
+
+    ``closed``: those that end in a semicolon alone, so that the ``&amp`` of a text cut short stays.
+    """
+    reference = CLOSED_REFERENCE if closed else REFERENCE
+
     def joined(t: Column) -> Column:
-        pieces, refs = F.split(t, REFERENCE, -1), F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        pieces, refs = F.split(t, reference, -1), F.regexp_extract_all(t, F.lit(reference), F.lit(0))
         return let(refs, lambda found: F.array_join(F.transform(pieces, lambda p, i: F.concat(
-            p, F.coalesce(_decoded(F.get(found, i)), F.lit("")))), ""))
+            p, F.coalesce(_decoded(F.get(found, i), closed), F.lit("")))), ""))
 
     return let(text, lambda t: F.when(F.contains(t, F.lit("&")), joined(t)).otherwise(t))
 
@@ -151,32 +158,32 @@ ANY_TAG = r"<[^>]+>"
 BLOCK_END_TAG = r"(?i)</\s*(?:p|div|h[1-6]|li)\s*>"
 
 
-def strip_markup(text: Column) -> Column:
+def strip_markup(text: Column, closed: bool = False) -> Column:
     """Markup to text: breaks to newlines, any other tag to a blank."""
-    out = F.replace(unescape(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("\n"))
+    out = F.replace(unescape(F.coalesce(text, F.lit("")), closed), F.lit("\r"), F.lit("\n"))
     out = F.regexp_replace(out, BREAK_TAG, "\n")
     return _tidy_lines(F.regexp_replace(out, ANY_TAG, " "))
 
 
-def clean_extracted_text(text: Column) -> Column:
+def clean_extracted_text(text: Column, closed: bool = False) -> Column:
     """Markup to text: breaks and block ends to newlines, any other tag to nothing."""
-    out = F.replace(unescape(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("\n"))
+    out = F.replace(unescape(F.coalesce(text, F.lit("")), closed), F.lit("\r"), F.lit("\n"))
     out = F.regexp_replace(F.regexp_replace(out, BREAK_TAG, "\n"), BLOCK_END_TAG, "\n")
     return _tidy_lines(F.regexp_replace(out, ANY_TAG, ""))
 
 
-def fragment_to_text(text: Column) -> Column:
+def fragment_to_text(text: Column, closed: bool = False) -> Column:
     """Markup to text with table cells separated by tabs and rows by newlines."""
-    out = F.regexp_replace(unescape(text), BREAK_TAG, "\n")
+    out = F.regexp_replace(unescape(text, closed), BREAK_TAG, "\n")
     out = F.regexp_replace(out, r"(?i)</\s*(?:td|th)\s*>\s*<\s*(?:td|th)\b[^>]*>", "\t")
     out = F.regexp_replace(out, r"(?i)</\s*tr\s*>", "\n")
-    out = unescape(F.regexp_replace(out, ANY_TAG, ""))
+    out = unescape(F.regexp_replace(out, ANY_TAG, ""), closed)
     return _tidy_lines(F.regexp_replace(out, r"\r\n?", "\n"))
 
 
-def normalize_text(text: Column) -> Column:
+def normalize_text(text: Column, closed: bool = False) -> Column:
     """Markup removed and all whitespace reduced to single blanks."""
-    return squeeze(strip_markup(text))
+    return squeeze(strip_markup(text, closed))
 
 
 def display_text(text: Column) -> Column:
@@ -279,9 +286,9 @@ def coerce_score(value: Column) -> Column:
     return F.coalesce(normalize_score(value), F.lit(0.0))
 
 
-def clean_article_text(text: Column, limit: int | None = None, keep_newlines: bool = False) -> Column:
+def clean_article_text(text: Column, limit: int | None = None, keep_newlines: bool = False, closed: bool = False) -> Column:
     """Entity-free article text on one line, or line by line without the empty ones."""
-    out = F.replace(unescape(F.coalesce(text, F.lit(""))), F.lit("\r"), F.lit("\n"))
+    out = F.replace(unescape(F.coalesce(text, F.lit("")), closed), F.lit("\r"), F.lit("\n"))
     if keep_newlines:
         lines = F.filter(F.transform(F.split(out, "\n"), squeeze), lambda line: line != "")
         out = F.array_join(lines, "\n")

@@ -105,3 +105,22 @@ def test_bands_give_each_line_its_first_holder(spark):
                                     "doc_id long, page_no int, seq int, label string, x0 int, y0 int, x1 int, y1 int")
     rows = bl.best_region(line, regions).collect()
     assert [r.region_label for r in rows] == ["early"]
+
+
+def oracle_rows(sf_dir, sql):
+    import duckdb
+
+    con = duckdb.connect()
+    for path in sf_dir.iterdir():
+        con.execute(f"CREATE VIEW {path.name.removesuffix('.parquet')} AS SELECT * FROM '{path}/*.parquet'")
+    return sorted(con.execute(sql).fetchall())
+
+
+@pytest.mark.parametrize("name", ["clean_article_text"])
+def test_pages_cut_within_a_reference(spark, tmp_path, name):
+    from broadsheet.plans import load_catalog
+
+    htmls = ["<title>a&amp;&amp</title><p>b &amp;lt; c&am<i>p{x}</i></p>", "x &lt;b&gt; &copy; &copy &#38; &ltnot; &nbsp", "&amp;amp &am<b>p;</b> &middot;"]
+    spark.createDataFrame(list(enumerate(h.replace("&#38; ", "") for h in htmls)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found, sql = load_catalog()
+    assert sorted(tuple(r) for r in found[name](spark, str(tmp_path)).collect()) == oracle_rows(tmp_path, sql[name])
