@@ -364,6 +364,21 @@ def test_pairwise_quality(labelled):
     assert pairwise_quality.score(docs.drop("score").limit(0), labels).count() == 0
 
 
+def test_pairwise_quality_learns_from_every_label(spark, monkeypatch):
+    """The rows that tell the classes apart are fewer than any sample would be sure to hold; a rare class plays in every block."""
+    monkeypatch.setattr(pairwise_quality, "BLOCK", 8)
+    rows = [(i, int(i % 50 == 0), [float(i % 7), float(i % 50 == 0), 1.0 * (i == 777)]) for i in range(1000)]
+    known = spark.createDataFrame([(y, x, i * 7919) for i, y, x in rows], "y int, x array<double>, h long")
+    blocks = pairwise_quality.dealt(known, {0: 980, 1: 20}).collect()
+    assert sum(sum(1 for y in b.y if y == 0) for b in blocks) == 980 and all(1 in b.y for b in blocks)
+    assert max(len(b.y) for b in blocks) < 8 * 4 + 20 + 1
+    weights = pairwise_quality.fit(known, {0: 980, 1: 20})
+    assert weights[1] > 0 > weights[2]  # one document of a thousand bears on the third weight
+    cut = pairwise_quality.best_cut(known, weights)
+    s = lambda x: sum(a * b for a, b in zip(x, weights))
+    assert all((s(x) >= cut) == (y == 1) for _, y, x in rows)
+
+
 def test_machine_learns_a_pair_of_words(labelled):
     docs, labels = labelled
     rows = toxicity.score(docs, labels).collect()
