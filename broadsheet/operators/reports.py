@@ -183,11 +183,11 @@ def best_article(articles: DataFrame, order: list[str]) -> DataFrame:
     """The article to open first per job: scored, relevant, long, with pictures, not a header."""
     out = articles.withColumn("shown", tx.display_text(F.col("title")))
     score = F.col("relevance_score")
-    rank = F.struct(
-        score.isNotNull().cast("int"), F.floor(F.coalesce(score, F.lit(-1.0)) * 1000), F.col("body_length"), F.col("image_count"),
-        F.when(is_header_title(F.col("shown"), F.col("body_length")), -1).otherwise(0))
-    best = out.withColumn("rank", rank).groupBy("job_id", "rank").agg(F.min_by("article_id", F.struct(*order)).alias("article_id"))
-    return best.groupBy("job_id").agg(F.max_by("article_id", "rank").alias("article_id"))
+    header = F.when(is_header_title(F.col("shown"), F.col("body_length")), 1).otherwise(0)
+    # The best first, so that one minimum per job decides both rank and order; what is null comes last.
+    lengths = [f(F.col(c)) for c in ("body_length", "image_count") for f in (F.isnull, F.negative)]
+    rank = F.struct(score.isNull(), -F.floor(F.coalesce(score, F.lit(-1.0)) * 1000), *lengths, header, *order)
+    return out.groupBy("job_id").agg(F.min_by("article_id", rank).alias("article_id"))
 
 
 def job_browser(files: DataFrame, pages: DataFrame, articles: DataFrame, annotations: DataFrame, enrichments: DataFrame) -> DataFrame:

@@ -65,3 +65,22 @@ def test_training_numbers_have_holes(spark):
     assert tuple(counts) == (2, 1, 2)
     paths = sorted(r.image_path for r in spark.read.json(f"{root}/document_article").collect())
     assert paths == ["document_article/article_000001.png", "document_article/article_000003.png"]
+
+
+def exchanges(df):
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    finally:
+        df.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_best_article_shuffles_once(spark):
+    from broadsheet.operators import reports
+
+    schema = "job_id long, article_id string, title string, body_length int, image_count int, relevance_score double, article_order int"
+    rows = [(1, "a", "t" * 30, 200, None, 0.5, 2), (1, "b", "t" * 30, 200, 0, 0.5, 3), (1, "c", "t" * 30, 200, 0, 0.5, 1), (1, "d", "t" * 30, 900, 9, None, 0),
+            (2, "e", "", 200, 1, 0.1, 1), (2, "f", "t" * 30, 200, 1, 0.1, 2)]
+    best = reports.best_article(spark.createDataFrame(rows, schema), ["article_order"])
+    assert exchanges(best) == 1
+    assert sorted(map(tuple, best.collect())) == [(1, "c"), (2, "f")]
