@@ -81,9 +81,9 @@ def bbox_array_from_any(raw: Column, depth: int = 2) -> Column:
     """
 
     def listed(value: Column) -> Column:
-        numbers = F.transform(F.regexp_extract_all(value, F.lit(NUMBER), F.lit(0)), lambda v: v.cast("double"))
+        numbers = F.split(F.translate(value, "[]", ""), ",")
         points = F.from_json(value, "array<array<double>>")
-        return (F.when(value.rlike(FOUR_NUMBERS), let(numbers, _hull))
+        return (F.when(value.rlike(FOUR_NUMBERS), let(F.transform(numbers, lambda v: v.cast("double")), _hull))
                 .when(value.rlike(r"^\[\s*\["), let(points, _point_hull)))
 
     def inner(value: Column) -> Column:
@@ -235,23 +235,22 @@ def page_needs_scaling(box: Box, width: Column, height: Column, page: list[str])
 
 
 def scale_bbox(box: Box, width: Column, height: Column) -> Box:
-    sides = (width, height, width, height)
-    return clamp_bbox(Box(*[F.bround(v / 1000 * s, 0).cast("int") for v, s in zip(box, sides)]), width, height)
+    return clamp_bbox(_scaled(box, width, height), width, height)
 
 
-def _pick(condition: Column, yes: Box, no: Box) -> Box:
-    return Box(*[F.when(condition, a).otherwise(b) for a, b in zip(yes, no)])
+def _scaled(box: Box, width: Column, height: Column) -> Box:
+    # rint is bround to whole numbers, without a BigDecimal for each.
+    return Box(*[F.rint(v / 1000 * s).cast("int") for v, s in zip(box, (width, height, width, height))])
 
 
 def normalize_bbox(box: Box, width: Column, height: Column) -> Box:
     """Scale or clamp one box, judged on its own."""
-    scale = needs_scaling(box.x1, box.y1, width, height)
-    return _pick(scale, scale_bbox(box, width, height), clamp_bbox(box, width, height))
+    return normalize_bboxes(box, width, height, needs_scaling(box.x1, box.y1, width, height))
 
 
 def normalize_bboxes(box: Box, width: Column, height: Column, scale: Column) -> Box:
     """Scale or clamp a box after the page-wide decision ``scale``."""
-    return _pick(scale, scale_bbox(box, width, height), clamp_bbox(box, width, height))
+    return clamp_bbox(Box(*[F.when(scale, a).otherwise(b) for a, b in zip(_scaled(box, width, height), box)]), width, height)
 
 
 def box_contains(outer: Box, inner: Box) -> Column:

@@ -84,3 +84,25 @@ def test_best_article_shuffles_once(spark):
     best = reports.best_article(spark.createDataFrame(rows, schema), ["article_order"])
     assert exchanges(best) == 1
     assert sorted(map(tuple, best.collect())) == [(1, "c"), (2, "f")]
+
+
+def test_captions_are_shuffled_once_and_grouped_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    from broadsheet.sources import captions as cp
+
+    text = '[{"text":" a ","bbox":[1, 2,30,40],"confidence":0.5},{"content":"a","bbox":"[30,40,1,2]"},{"text":"　","content":"b"},{"text":" "},{"text":"c","confidence":0.1}]'
+    rows = [("x", 1, 0, text), ("x", 2, 5, '[{"text":"c"}]'), ("x", 2, 5, '[{"text":"d"},{"text":"c","confidence":0.9}]'), ("y", None, None, '[{"text":"c"}]')]
+    images = spark.createDataFrame(rows, "article_id string, position int, image_order int, captions string")
+    plain, scaled = cp.normalize_captions(images), cp.normalize_captions(images, F.lit(2480), F.lit(3509))
+    flat, mapped = cp.flatten_captions(plain), cp.captions_by_image(plain.where("image_order is not null"))
+    assert [exchanges(df) for df in (plain, scaled, flat, mapped)] == [1, 1, 1, 1]
+    for df in (plain, scaled, flat):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+    found = {(r.article_id, r.image_order, r.caption, r.x0, r.y1, r.caption_order, r.confidence) for r in plain.collect()}
+    assert found == {("x", 1, "a", 1, 40, 0, 0.5), ("x", 1, "b", None, None, 2, None), ("x", 1, "c", None, None, 4, 0.1), ("x", 5, "c", None, None, 0, None),
+                     ("x", 5, "d", None, None, 0, None), ("y", None, "c", None, None, 0, None)}
+    assert {(r.x0, r.y0, r.x1, r.y1) for r in scaled.where("caption = 'a'").collect()} == {(2, 7, 74, 140)}
+    assert {(r.article_id, r.caption, r.image_order, r.caption_order) for r in flat.collect()} == {
+        ("x", "a", 1, 0), ("x", "b", 1, 2), ("x", "c", 1, 4), ("x", "d", 5, 0), ("y", "c", None, 0)}
+    assert mapped.first().captions == {1: ["a", "b", "c"], 5: ["c", "d"]}
