@@ -106,3 +106,73 @@ def test_captions_are_shuffled_once_and_grouped_by_hash(spark):
     assert {(r.article_id, r.caption, r.image_order, r.caption_order) for r in flat.collect()} == {
         ("x", "a", 1, 0), ("x", "b", 1, 2), ("x", "c", 1, 4), ("x", "d", 5, 0), ("y", "c", None, 0)}
     assert mapped.first().captions == {1: ["a", "b", "c"], 5: ["c", "d"]}
+
+
+def shuffles(spark, df):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return exchanges(df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_page_links_shuffle_pages_twice(spark):
+    from broadsheet.operators import reports
+
+    rows = [(1, 11, "a", 1), (1, 11, "b", 2), (1, 11, "c", 3), (1, 12, "d", 1), (1, 13, "e", 2), (1, 13, "f", 2), (2, 21, "g", 1), (2, None, "h", 1)]
+    links = reports.page_links(spark.createDataFrame(rows, "job_id long, file_id long, page_id string, page_number int"))
+    assert shuffles(spark, links) == 2
+    assert sorted(map(tuple, links.collect())) == [("a", None, "b"), ("b", "a", "c"), ("c", "b", "d"), ("d", "c", "e"), ("e", "d", "f"), ("f", "e", None), ("g", None, None)]
+
+
+def test_article_detail_shuffles_only_the_texts_chosen(spark):
+    from broadsheet.operators import reports
+
+    own = spark.createDataFrame([(1, "x", "p", "own", " "), (1, "y", "p", "own", "text")], "job_id long, article_id string, page_id string, title string, body_text string")
+    pages = spark.createDataFrame([(1, 11, "p", 1)], "job_id long, file_id long, page_id string, page_number int")
+    part = spark.createDataFrame([("x", " t ", " ")], "article_id string, corrected_title string, corrected_body_text string")
+    raw = spark.createDataFrame([("x", "raw")], "article_id string, raw_text string")
+    detail = reports.article_detail(own, pages, part, part.limit(0), part.limit(0), raw)
+    plan = detail._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Join":
+        plan = plan.children().apply(0)
+    assert "page_id" in plan.left().output().toString() and "m_title" not in plan.left().output().toString()
+    assert sorted(tuple(r) for r in detail.select("article_id", "corrected_title", "corrected_body_text").collect()) == [("x", "t", "raw"), ("y", "own", "text")]
+
+
+def test_job_result_shuffles_pictures_and_captions_together(spark):
+    from broadsheet.operators import reports
+
+    own = spark.createDataFrame([(1, "x", "own", "b"), (1, "y", "own", "b")], "job_id long, article_id string, title string, body_text string")
+    images = spark.createDataFrame([("x", 2, "p2"), ("x", 1, "p1"), ("x", 2, None), ("x", None, "p0")], "article_id string, image_order int, image_path string")
+    words = spark.createDataFrame([("x", 2, 2, "d"), ("x", 2, 1, "c"), ("x", None, 1, "n"), ("y", 1, 1, "lost")], "article_id string, image_order int, caption_order int, caption string")
+    meta = spark.createDataFrame([("x", " t ", " ")], "article_id string, corrected_title string, corrected_body_text string")
+    sent = spark.createDataFrame([("y", "failed")], "article_id string, delivery_status string")
+    out = reports.job_result(own, images, words, meta, sent)
+    assert shuffles(spark, out) == 4
+    found = {r.article_id: [(i.image_order, i.image_path, i.captions) for i in r.images] for r in out.collect()}
+    assert found == {"x": [(None, "p0", []), (1, "p1", []), (2, None, ["c", "d"]), (2, "p2", ["c", "d"])], "y": []}
+
+
+def test_job_browser_deals_articles_out_by_page_once(spark):
+    from broadsheet.operators import reports
+
+    files = spark.createDataFrame([(11, "f", "completed")], "file_id long, file_name string, status string")
+    pages = spark.createDataFrame([("p", "parsed")], "page_id string, status string")
+    arts = spark.createDataFrame([(1, 11, "p", 1, 2, "b", "B"), (1, 11, "p", 1, 1, "a", "A")], "job_id long, file_id long, page_id string, page_number int, article_order int, article_id string, title string")
+    fix = spark.createDataFrame([("a", "A2")], "article_id string, corrected_title string")
+    out = reports.job_browser(files, pages, arts, fix, spark.createDataFrame([("z", "Z")], fix.schema))
+    # Three by article, two by page, two by file.
+    assert shuffles(spark, out) == 7
+    row, = out.collect()
+    assert [(a.title, a.annotated) for a in row.articles] == [("A2", True), ("B", False)] and row.article_count == 2 and row.file_name == "f"
+
+
+def test_latest_delivery_shuffles_no_order_beside_the_state(spark):
+    from broadsheet.operators import delivery
+
+    rows = [("t1", "x", 5, "failed"), ("t2", "x", 5, "delivered"), ("t9", "x", 4, "failed"), ("t1", "y", None, "failed")]
+    ledger = spark.createDataFrame(rows, "attempt_id string, article_id string, attempted_at long, delivery_status string")
+    last = delivery.latest_delivery(ledger)
+    assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString() and last.columns == ["article_id", "attempt_id", "attempted_at", "delivery_status"]
+    assert sorted(map(tuple, last.collect())) == [("x", "t2", 5, "delivered"), ("y", "t1", None, "failed")]
