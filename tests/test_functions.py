@@ -134,3 +134,13 @@ def test_box_of_the_first_thousandth(spark, tmp_path):
     found, sql = load_catalog()
     rows = sorted(tuple(r) for r in found["bbox_from_model_value"](spark, str(tmp_path)).collect())
     assert rows == oracle_rows(tmp_path, sql["bbox_from_model_value"]) and rows[0][4:] == (0, 0, 2, 4)
+
+
+def test_slugs_of_long_runs_of_marks_take_linear_time(spark):
+    import time
+
+    one(spark, t="warm").select(tx.slugify(F.col("t")), tx.normalize_reviewer(F.col("t"))).first()
+    text, start = " -. a--b .c" + "._" * 60000 + "d e\n가나_- ", time.perf_counter()
+    row = one(spark, t=text).select(tx.slugify(F.col("t")), tx.normalize_reviewer(F.col("t"))).first()
+    assert tuple(row) == ("a-b-.c" + "._" * 60000 + "d-e", "a--b_.c" + "._" * 60000 + "d_e_가나")
+    assert time.perf_counter() - start < 3
