@@ -30,6 +30,7 @@ AD_WORDS = ("advertisement", "sponsored", "paid content", "광고", "전면광
 DISCOUNT_WORDS = ("할인", "특가", "이벤트", "분양")
 CONTACT_WORDS = ("문의", "상담", "예약", "대표번호")
 CURRENCY = r"\d[\d,\.\s]*(원|만원|억원|천원|달러)"
+CREDIT_WORDS = ("기자", "특파원")
 CREDIT_TAILS = (
     r"\s+[가-힣A-Za-z]{1,20}=[가-힣A-Za-z]{2,20}\s+(?:기자|특파원)\s*$",
     r"\s+[가-힣A-Za-z]{2,20}\s+(?:기자|특파원)\s*$",
@@ -78,9 +79,11 @@ def is_credit(text: Column) -> Column:
 
 
 def strip_trailing_credit(text: Column) -> Column:
+    cut = text
     for tail in CREDIT_TAILS:
-        text = F.regexp_replace(text, tail, "")
-    return strip(text)
+        cut = F.regexp_replace(cut, tail, "")
+    # Both patterns end in one of these words and would try every blank of a text without them.
+    return strip(F.when(contains_any(text, CREDIT_WORDS), cut).otherwise(text))
 
 
 def is_aux_title(text: Column) -> Column:

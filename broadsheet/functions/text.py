@@ -164,9 +164,15 @@ BLOCK_END_TAG = r"(?i)</\s*(?:p|div|h[1-6]|li)\s*>"
 
 def strip_markup(text: Column, closed: bool = False) -> Column:
     """Markup to text: breaks to newlines, any other tag to a blank."""
-    out = F.replace(unescape(F.coalesce(text, F.lit("")), closed), F.lit("\r"), F.lit("\n"))
-    out = F.regexp_replace(out, BREAK_TAG, "\n")
-    return _tidy_lines(F.regexp_replace(out, ANY_TAG, " "))
+    def stripped(t: Column) -> Column:
+        out = F.replace(unescape(t, closed), F.lit("\r"), F.lit("\n"))
+        return _tidy_lines(F.regexp_replace(F.regexp_replace(out, BREAK_TAG, "\n"), ANY_TAG, " "))
+
+    def marked(t: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [F.contains(t, F.lit(c)) for c in "<&\n\r"])
+
+    # Most lines hold nothing that the patterns below could match; a search for four characters costs far less than six patterns.
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(marked(t), stripped(t)).otherwise(strip(t)))
 
 
 def clean_extracted_text(text: Column, closed: bool = False) -> Column:

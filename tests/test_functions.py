@@ -144,3 +144,17 @@ def test_slugs_of_long_runs_of_marks_take_linear_time(spark):
     row = one(spark, t=text).select(tx.slugify(F.col("t")), tx.normalize_reviewer(F.col("t"))).first()
     assert tuple(row) == ("a-b-.c" + "._" * 60000 + "d-e", "a--b_.c" + "._" * 60000 + "d_e_가나")
     assert time.perf_counter() - start < 3
+
+
+def test_lines_without_marks_pass_the_patterns_by(spark):
+    import time
+
+    from broadsheet.functions import newspaper as news
+
+    def cleaned(text):
+        return tuple(one(spark, t=text).select(tx.strip_markup(F.col("t")), news.strip_trailing_credit(F.col("t"))).first())
+
+    assert cleaned(" a<br>b \n\n\n c&amp;d 서울=홍길동 기자 ") == ("a\nb\n\nc&d 서울=홍길동 기자", "a<br>b \n\n\n c&amp;d")
+    text, start = "a" + " " * 200000 + "b", time.perf_counter()
+    assert cleaned(text) == (text, text)
+    assert time.perf_counter() - start < 5
