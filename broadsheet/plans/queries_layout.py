@@ -336,11 +336,12 @@ QUALIFY row_number() OVER (PARTITION BY t.doc_id, t.page_no, t.block_id ORDER BY
 def q_place_titles(spark, sf_dir):
     """Titles of pages whose last column holds text; a title beyond it widens the last column."""
     pages = cl.page_rows(sheet_blocks(spark, sf_dir))
-    rows = pages.select(*PAGE, F.explode(F.arrays_zip("blocks", "columns")).alias("z"))
-    rows = rows.select(*PAGE, "z.blocks.block_id", "z.blocks.label", "z.blocks.x0", "z.blocks.textish", F.col("z.columns").alias("column_index")).where("textish")
-    reach = rows.groupBy(*PAGE).agg(F.max(F.when(F.col("label") != "title", F.col("x0"))).alias("text_x"), F.max("x0").alias("any_x"))
-    whole = reach.where(F.col("text_x") + 100 > F.col("any_x")).select(*PAGE)
-    return rows.where(F.col("label") == "title").join(whole, PAGE, "left_semi").select(*PAGE, "block_id", "column_index")
+    textish = F.filter("blocks", lambda b: b["textish"])
+    text_x = F.array_max(F.transform(F.filter(textish, lambda b: b["label"] != "title"), lambda b: b["x0"]))
+    whole = pages.where(text_x + 100 > F.array_max(F.transform(textish, lambda b: b["x0"])))
+    # By place, not zipped: a filter that the explode brings would be pushed down as a copy of the columns' computation.
+    rows = whole.select(*PAGE, "columns", F.posexplode("blocks").alias("i", "b")).where(F.col("b.textish") & (F.col("b.label") == "title"))
+    return rows.select(*PAGE, "b.block_id", F.get("columns", "i").alias("column_index"))
 
 
 # Sheets whose articles are certain: every title stands clear of the text above it.

@@ -26,3 +26,14 @@ def test_batch_runs_each_operation_and_keeps_failures_as_rows(spark):
     assert "## 오른쪽 기사 제목" in json.loads(converted.result)["markdown"]
     with pytest.raises(ValueError):
         documents.run_batch(lists, blocks, "print")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_place_titles_makes_each_page_once(spark):
+    from broadsheet.plans.queries_layout import q_place_titles
+
+    plan = plan_of(q_place_titles(spark, "/root/testdata/sf0.001"))
+    assert "Join" not in plan and plan.count("collect_list") == 1
