@@ -294,21 +294,22 @@ BLOCK_FIELDS = ("seq", "block_id", "label", "x0", "y0", "x1", "y1", "text", "con
                 "metadata_kind", "textish", "usable_image")
 
 
-def cluster_pages(blocks: DataFrame) -> DataFrame:
+def cluster_pages(blocks: DataFrame, **more: Column) -> DataFrame:
     """One row per page with ``blocks`` and ``articles`` arrays.
 
     ``articles``, ``images``, ``captions``, ``article_blocks`` and ``unassigned`` explode it; write
     or persist it when several of them are needed. A block's ``article`` counts from 0 within the
-    page and is -1 where it belongs to none.
+    page and is -1 where it belongs to none. ``more`` are columns of a page made from its ``blocks`` as they were given.
     """
-    pages = merge_title_blocks(title_groups(page_rows(blocks)))
+    pages = merge_title_blocks(title_groups(page_rows(blocks).withColumns(more)))
     steps = _page_steps()
     pages = made.build_articles(pages.withColumn("items", steps["items"]))
-    pages = pages.select(*PAGE, "width", "height", "blocks", "found", steps["by_index"].alias("entries"))
-    pages = pages.select(*PAGE, "width", "height", steps["placed"].alias("blocks"), "found").withColumn("drafts", steps["drafts"])
+    kept = [*PAGE, "width", "height", *more]
+    pages = pages.select(*kept, "blocks", "found", steps["by_index"].alias("entries"))
+    pages = pages.select(*kept, steps["placed"].alias("blocks"), "found").withColumn("drafts", steps["drafts"])
     # Behind a generator, so that filters on the outcome (an explode brings some) are not pushed down as copies of the whole computation.
     outcome = F.struct("blocks", steps["ordered"].alias("articles"))
-    return pages.select(*PAGE, "width", "height", F.explode(F.array(outcome)).alias("page")).select(*PAGE, "width", "height", "page.blocks", "page.articles")
+    return pages.select(*kept, F.explode(F.array(outcome)).alias("page")).select(*kept, "page.blocks", "page.articles")
 
 
 @tx.once

@@ -59,6 +59,12 @@ def _in_order(value: Column, order: str = "seq") -> Column:
     return F.transform(listed, lambda s: s["v"])
 
 
+def listed_text(blocks: Column) -> Column:
+    """``page_text`` of an array of a page's blocks."""
+    listed = F.filter(F.transform(blocks, lambda b: F.struct(b["seq"].alias("o"), tx.strip(b["text"]).alias("v"))), lambda s: s["v"] != "")
+    return F.array_join(F.transform(F.sort_array(listed), lambda s: s["v"]), "\n")
+
+
 def page_text(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy(*PAGE).agg(F.array_join(_in_order(tx.strip(F.col("text"))), "\n").alias("page_text"))
 
@@ -69,14 +75,26 @@ def document_text(page_texts: DataFrame) -> DataFrame:
     return page_texts.groupBy("doc_id").agg(full.alias("full_text"))
 
 
+def _piece(title: Column, body: Column) -> Column:
+    return F.concat_ws("\n\n", F.when(title != "", _wrap("## ", title)), F.nullif(body, F.lit("")))
+
+
+def _marked(pieces: Column) -> Column:
+    content = F.coalesce(F.nullif(pieces, F.lit("")), F.when(tx.strip(F.col("page_text")) != "", F.col("page_text")), F.lit(""))
+    return F.concat(F.lit("# Page "), F.col("page_no"), F.lit("\n\n"), content).alias("page_markdown")
+
+
 def page_markdown(page_texts: DataFrame, articles: DataFrame) -> DataFrame:
     """``# Page n`` and its articles, or the page text where there are none."""
-    title, body = tx.strip(F.col("title")), tx.strip(F.col("body_text"))
-    piece = F.concat_ws("\n\n", F.when(title != "", _wrap("## ", title)), F.nullif(body, F.lit("")))
+    piece = _piece(tx.strip(F.col("title")), tx.strip(F.col("body_text")))
     merged = articles.groupBy(*PAGE).agg(F.array_join(_in_order(piece, "article_order"), "\n\n").alias("pieces"))
-    out = page_texts.join(merged, PAGE, "left")
-    content = F.coalesce(F.nullif("pieces", F.lit("")), F.when(tx.strip(F.col("page_text")) != "", F.col("page_text")), F.lit(""))
-    return out.select(*PAGE, F.concat(F.lit("# Page "), F.col("page_no"), F.lit("\n\n"), content).alias("page_markdown"))
+    return page_texts.join(merged, PAGE, "left").select(*PAGE, _marked(F.col("pieces")))
+
+
+def page_markdown_of(pages: DataFrame) -> DataFrame:
+    """The same of pages that carry their text and their ``articles`` in order, page by page."""
+    pieces = F.transform("articles", lambda a: _piece(tx.strip(a["title"]), tx.strip(a["body_text"])))
+    return pages.select(*PAGE, _marked(F.array_join(F.filter(pieces, lambda p: p != ""), "\n\n")))
 
 
 def page_html(blocks: DataFrame, block_ids: bool = False) -> DataFrame:
@@ -129,11 +147,15 @@ def output_formats(text: str | None) -> list[str]:
 
 def convert(blocks: DataFrame, articles: DataFrame, formats: str | None = None, paginate: bool = False, block_ids: bool = False) -> DataFrame:
     """One row per document with a column per requested format; only those are computed."""
+    return convert_marked(blocks, page_markdown(page_text(blocks), articles), formats, paginate, block_ids)
+
+
+def convert_marked(blocks: DataFrame, marked: DataFrame, formats: str | None = None, paginate: bool = False, block_ids: bool = False) -> DataFrame:
+    """``convert`` with the pages' Markdown given."""
     parts = []
     for name in output_formats(formats):
         if name == "markdown":
-            parts.append(join_pages(page_markdown(page_text(blocks), articles), "page_markdown", paginate)
-                         .withColumnRenamed("document_markdown", "markdown"))
+            parts.append(join_pages(marked, "page_markdown", paginate).withColumnRenamed("document_markdown", "markdown"))
         elif name == "html":
             parts.append(join_pages(page_html(blocks, block_ids), "page_html", paginate, html=True)
                          .withColumnRenamed("document_html", "html"))

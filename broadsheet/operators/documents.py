@@ -18,13 +18,12 @@ OPERATIONS = ("convert_document", "segment_document", "extract_structured_data")
 
 def segmented_pages(blocks: DataFrame) -> DataFrame:
     """One row per page: size, text, ``articles`` in reading order and the ``unassigned`` text blocks."""
-    pages = cluster.cluster_pages(blocks)
+    pages = cluster.cluster_pages(blocks, page_text=convert.listed_text(F.col("blocks")))
     article = F.transform("articles", lambda a, i: F.struct((i + 1).alias("article_order"), *[a[n].alias(n) for n in (
         "title", "body_text", *Box._fields, "confidence", "layout_type", "image_count", "caption_count")]))
     free = F.filter("blocks", lambda b: (b["article"] < 0) & b["textish"] & ~b["aux"] & ~b["merged"])
     unassigned = F.transform(free, lambda b: F.struct(*[b[n].alias(n) for n in ("block_id", "label", *Box._fields, "text")]))
-    found = pages.select(*PAGE, "width", "height", article.alias("articles"), unassigned.alias("unassigned"))
-    return found.join(convert.page_text(blocks), PAGE)
+    return pages.select(*PAGE, "width", "height", article.alias("articles"), unassigned.alias("unassigned"), "page_text")
 
 
 def page_articles(pages: DataFrame) -> DataFrame:
@@ -42,7 +41,7 @@ def segment_totals(pages: DataFrame) -> DataFrame:
 
 def convert_documents(blocks: DataFrame, formats: str | None = None, paginate: bool = False) -> DataFrame:
     """``convert`` with the articles that the clustering finds."""
-    return convert.convert(blocks, page_articles(segmented_pages(blocks)), formats, paginate)
+    return convert.convert_marked(blocks, convert.page_markdown_of(segmented_pages(blocks)), formats, paginate)
 
 
 def extract_documents(blocks: DataFrame, fields: list[dict]) -> DataFrame:

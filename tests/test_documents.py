@@ -32,6 +32,15 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_pages_are_shuffled_once_for_articles_and_text(spark):
+    """The text and the Markdown of a page come from the row that its articles come from."""
+    blocks = page(spark, TWO_PAPERS)
+    pages = plan_of(documents.segmented_pages(blocks))
+    assert "Join" not in pages and pages.count("RepartitionByExpression") == 1
+    markdown = plan_of(documents.convert_documents(blocks, "markdown"))
+    assert "Join" not in markdown and markdown.count("RepartitionByExpression") == 1
+
+
 def test_place_titles_makes_each_page_once(spark):
     from broadsheet.plans.queries_layout import q_place_titles
 
