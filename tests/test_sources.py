@@ -176,3 +176,44 @@ def test_latest_delivery_shuffles_no_order_beside_the_state(spark):
     last = delivery.latest_delivery(ledger)
     assert "max_by" not in last._jdf.queryExecution().optimizedPlan().toString() and last.columns == ["article_id", "attempt_id", "attempted_at", "delivery_status"]
     assert sorted(map(tuple, last.collect())) == [("x", "t2", 5, "delivered"), ("y", "t1", None, "failed")]
+
+
+def _delivery(spark):
+    from broadsheet.operators import delivery
+    kinds = "article_id string, job_id long, file_id long, page_number int, title string, body_text string, publication string, issue_date string, relevance_score string"
+    articles = spark.createDataFrame([
+        ("a", 1, 11, 1, " T　", "b", "p", "2024-05-06 ", "50"), ("b", 1, 11, 2, "T", "b", "p", "2024-02-30", None),
+        ("c", 1, 10, 9, " ", "b", None, None, "x"), ("d", 2, 20, 1, "T", "\n", "p", "", "1")], kinds)
+    images = spark.createDataFrame([
+        ("a", 3, "a/3", [None, "　three ", " \t"]), ("a", 1, "a/1", None), ("a", 2, "a/2", ["two", " more"]), ("a", 4, "a/4", ["large"]),
+        ("c", 1, "c/1", ["gone"]), ("c", 2, "c/2", ["gone"]), ("c", 3, "c/3", ["large"]), ("none", 1, "n/1", ["n"])],
+        "article_id string, image_order int, image_path string, captions array<string>")
+    sizes = spark.createDataFrame([("a/1", 5), ("a/2", 5), ("a/3", 5), ("a/4", 11 << 20), ("c/3", 11 << 20), ("n/1", 1)], "image_path string, size_bytes long")
+    return delivery, articles, images, sizes
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_request_collects_pictures_in_order_without_grouping_by_hash(spark):
+    delivery, articles, images, sizes = _delivery(spark)
+    numbered = delivery.index_in_job(delivery.prepare_articles(articles), ["page_number"])
+    found = delivery.request_body(delivery.with_images(numbered, images, sizes))
+    body = {r.article_id: json.loads(r.request_article) for r in found.collect()}
+    assert {k: v for k, v in body["a"].items() if k != "imgs"} == {"title": "T", "body_text": "b", "relevance_score": 0.5, "publication": "p", "issue_date": "2024-05-06"}
+    assert [(i["caption"], i["src"]) for i in body["a"]["imgs"]] == [("", "file_1_0"), ("two more", "file_1_1"), ("three", "file_1_2")]
+    assert body["b"]["issue_date"] == "2024-02-30" and body["b"]["imgs"] == body["c"]["imgs"] == [] and set(body) == set("abcd")
+    plan = _plan(found.select("article_id", "request_article"))
+    assert "ObjectHashAggregate" not in plan and "get_json_object" not in plan
+    from broadsheet.plans import load_catalog
+    query = _plan(load_catalog()[0]["delivery_request"](spark, "/root/testdata/sf0.001"))
+    assert "ObjectHashAggregate" not in query and "get_json_object" not in query
+
+
+def test_truncating_trims_every_kind_of_blank(spark):
+    from broadsheet.functions import text as tx
+    texts = [None, "", " ", "　 x ", "\t　", "ab  cdef", " a   b ", "가나 다", "abc\n d", "\x85abc "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.truncate_text(F.col("t"), 4).alias("cut"), tx.strip_named(F.col("t")).alias("bare"))
+    for r in rows.collect():
+        assert r.cut == (r.t or "").strip()[:4].strip() and r.bare == (None if r.t is None else r.t.strip())
