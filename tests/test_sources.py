@@ -217,3 +217,16 @@ def test_truncating_trims_every_kind_of_blank(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.truncate_text(F.col("t"), 4).alias("cut"), tx.strip_named(F.col("t")).alias("bare"))
     for r in rows.collect():
         assert r.cut == (r.t or "").strip()[:4].strip() and r.bare == (None if r.t is None else r.t.strip())
+
+
+def test_preview_groups_jobs_once_and_leaves_the_texts_behind(spark):
+    delivery, articles, images, sizes = _delivery(spark)
+    made = delivery.delivery_preview(delivery.prepare_delivery(articles, images, sizes))
+    out = {r.job_id: r.asDict() for r in made.collect()}
+    assert out[1] == {"job_id": 1, "ready_count": 1, "warning_count": 1, "blocked_count": 1, "article_count": 3, "included_images": 3, "skipped_images": 4, "delivery_status": "blocked",
+                      "validation_summary": ["image_too_large", "image_missing_file", "missing_issue_date", "missing_publication", "missing_title"]}
+    assert out[2]["validation_summary"] == ["missing_body", "missing_issue_date"] and out[2]["included_images"] == 0 and out[2]["blocked_count"] == 1
+    off = delivery.delivery_preview(delivery.prepare_delivery(articles, images, sizes), target_configured=False)
+    assert {r.job_id: r.validation_summary[-1] for r in off.collect()} == {1: "target_not_configured", 2: "target_not_configured"}
+    plan = _plan(made)
+    assert "Generate" not in plan and "ObjectHashAggregate" not in plan
