@@ -277,6 +277,21 @@ def test_search_lists_a_repeated_id_once(spark):
         assert {tuple(r) for r in voronoi.search(frame, 5, F.col("id") % 10 == 0, **options).collect()} == expected
 
 
+def test_search_holds_no_more_than_a_tile(spark):
+    """Vectors and queries go to Python a row each, never as pairs of blocks, and in as few bytes as they need."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.integers(-9, 9, 6).tolist()) for i in range(400)] + [(400, [1 << 40] * 6), (401, [-(1 << 20)] * 3), (402, [])]
+    frame = spark.createDataFrame(rows, "id long, v array<long>").repartition(3)
+    whole = {(q, n + 1, d, -s) for q, a in rows if q % 10 == 0
+             for n, (s, d) in enumerate(sorted((-sum(x * y for x, y in zip(a, b)), d) for d, b in rows if d != q)[:5])}
+    for options in ({}, {"pivots": 4, "block": 8, "slot": 16, "part": 1}):
+        found = voronoi.search(frame, 5, F.col("id") % 10 == 0, **options)
+        assert {tuple(r) for r in found.collect()} == whole
+        assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    packed = [voronoi._packed(v) for _, v in rows]
+    assert len(packed[0]) == 13 and voronoi._unpacked(packed).tolist() == [v + [0] * (6 - len(v)) for _, v in rows]
+
+
 def test_search_skips_far_cells(spark):
     rng = np.random.default_rng(2)
     rows = [(i, (np.eye(8)[i % 8] * 1000 + rng.integers(-9, 9, 8)).astype(int).tolist()) for i in range(800)]
