@@ -178,6 +178,25 @@ def test_latest_delivery_shuffles_no_order_beside_the_state(spark):
     assert sorted(map(tuple, last.collect())) == [("x", "t2", 5, "delivered"), ("y", "t1", None, "failed")]
 
 
+def test_ledger_shuffles_requests_by_attempt_alone(spark):
+    from broadsheet.operators import delivery
+
+    requests = spark.createDataFrame(
+        [(t, n, i, f"{t}{i}", "{}", 1) for t, n in (("gone", 2), ("refused", 3), ("gaps", 3), ("late", 1)) for i in range(n)] + [(None, 2, 0, "none", "{}", 1), ("refused", 3, None, "unplaced", "{}", 1)],
+        "attempt_id string, batch_size int, article_index int, article_id string, request_article string, attempted_at long")
+    responses = spark.createDataFrame(
+        [("refused", None, 400, "e", "t"), ("refused", 1, 422, None, " "), ("refused", 0, 200, None, None), ("gaps", None, 400, None, "t"), ("gaps", 2, 200, None, None), ("gaps", 2, 500, "x", None),
+         ("late", None, 503, None, "busy"), ("late", None, 202, None, None), ("late", 0, 200, None, None), (None, None, 200, None, None), (None, 0, 200, None, None), ("lost", 0, 200, None, None)],
+        "attempt_id string, article_index int, response_code int, error_code string, response_text string")
+    ledger = delivery.delivery_ledger(requests, responses)
+    assert shuffles(spark, ledger) == 2
+    found = sorted((r.article_id, r.response_code, r.last_error, r.request_batch_size, r.request_article_index) for r in ledger.collect())
+    assert found == sorted([
+        ("gone0", 502, "HTTP 502", 2, 0), ("gone1", 502, "HTTP 502", 2, 1), ("refused0", 200, None, 1, 0), ("refused1", 422, "HTTP 422", 1, 0), ("refused2", 502, "HTTP 502", 1, 0),
+        ("gaps0", 502, "HTTP 502", 1, 0), ("gaps1", 502, "HTTP 502", 1, 0), ("gaps2", 200, None, 1, 0), ("gaps2", 500, "target rejected: x", 1, 0),
+        ("late0", 503, "busy", 1, 0), ("late0", 202, None, 1, 0), ("none", 502, "HTTP 502", 2, 0), ("unplaced", 502, "HTTP 502", 1, 0)])
+
+
 def _delivery(spark):
     from broadsheet.operators import delivery
     kinds = "article_id string, job_id long, file_id long, page_number int, title string, body_text string, publication string, issue_date string, relevance_score string"
