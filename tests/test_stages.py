@@ -34,6 +34,7 @@ def test_a_stage_leaves_its_rows_and_no_shuffle_files(spark, folder):
 @pytest.mark.parametrize("name, made", [
     ("article_detail", {"article-texts", "page-links"}),
     ("delivery_request", {"delivery-pictures", "delivery-articles"}),
+    ("job_browser", {"article-titles", "browser-pages"}),
 ])
 def test_queries_run_in_stages_with_the_same_rows(spark, folder, monkeypatch, name, made):
     found = load_catalog()[0][name](spark, SF)
